@@ -43,7 +43,7 @@ def unescape(text: Column) -> Column:
 
 def escape_role(role: Column) -> Column:
     """A role ends at the line's end, so its own line ends are written as backslash and n."""
-    return F.regexp_replace(escape(role), "\n", r"\\\\n")
+    return F.regexp_replace(escape(role), "\n", r"\\n")
 
 
 def unescape_role(role: Column) -> Column:

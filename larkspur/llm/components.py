@@ -25,7 +25,7 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b), of one type, in any direction, loops and repeats allowed. Returns (node, root) for
-    every node on an edge between different nodes; root is the least node that can be reached."""
+    every node that can reach a lesser one; root is the least of them. Roots and nodes without edges are left out."""
     edges = edges.filter("a is not null and b is not null and a <> b")
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None

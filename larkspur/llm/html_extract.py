@@ -213,12 +213,15 @@ def extract(page: str | None) -> str:
     scored = score(root)
     if not scored:
         return ""
-    best = max(scored, key=lambda n: n.points * (1 - n.linked / max(1, n.chars)))
+    worth = lambda n: n.points * (1 - n.linked / max(1, n.chars))
+    best = max(scored, key=worth)
+    # what the page itself marks as its article goes before a container around it, unless it is a trifle
+    marked = [n for n in scored if n.name in ("article", "main") and 10 * n.chars >= root.chars]
     around = best
     while around is not None and around.name not in ("article", "main"):
         around = around.up
-    if around is not None:
-        best = around
+    if around is not None or marked:
+        best = around if around is not None else max(marked, key=worth)
     if best.up is None:
         return "\n".join(blocks(best))
     least, out = 0.2 * best.points, []
