@@ -339,26 +339,27 @@ def to_char_datetime(ts: str, fmt: str) -> str:
 
 
 def to_char_number(x: str, fmt: str) -> str:
-    """9 and 0 are digits, a comma groups, FM drops the blanks; a sign slot stands first; what is too wide is a row of #."""
+    """9 and 0 are digits (any 0 fills with zeros), a comma groups, FM fills nothing; a sign slot stands first; what is too wide is a row of #."""
     f = fmt.upper()
     fill = not f.startswith("FM")
-    f = f[2:] if not fill else f
-    if not re.fullmatch(r"[90,]*(\.[90]*)?", f) or not re.search("[90]", f):
-        raise SqlError("22023", f"Number format '{fmt}' is not known")
+    f = f if fill else f[2:]
+    if not re.fullmatch(r"[90,]*(\.[90,]*)?", f) or not re.search("[90]", f):
+        raise SqlError("22018", f"Number format '{fmt}' is not known")
     whole, _, frac = f.partition(".")
-    places, digits = len(frac), re.sub(",", "", whole)
-    width = len(f) + 1
-    n = f"round(CAST({x} AS DECIMAL(38,{max(places, 1) + 8})), {places})"
-    least = len(digits) - digits.index("0") if "0" in digits else 0
-    a = f"abs({n})"
-    units = f"CAST(CAST(floor({a}) AS DECIMAL(38,0)) AS STRING)"
-    units = f"CASE WHEN floor({a}) = 0 THEN {quoted('0' * least)} ELSE lpad({units}, greatest(length({units}), {least}), '0') END"
-    grouped = f"reverse(regexp_replace(reverse({units}), '([0-9]{{3}})(?=[0-9])', '$1,'))" if "," in whole else units
-    tail = f", '.', substr(rpad(split_part(CAST(CAST({a} AS DECIMAL(38,{max(places, 1)})) AS STRING), '.', 2), {places}, '0'), 1, {places})" if "." in f else ""
-    body = f"concat(CASE WHEN {n} < 0 THEN '-' ELSE '' END, {grouped}{tail})"
-    wide = f"length({units}) > {len(digits)}"
-    out = f"CASE WHEN {x} IS NULL THEN NULL WHEN {wide} THEN {quoted('#' * width)} ELSE " + (f"lpad({body}, {width}, ' ')" if fill else body) + " END"
-    return out
+    slots, places = len(whole.replace(",", "")), len(frac)
+    n = f"round(CAST({x} AS DECIMAL(38,{places + 8})), {places})"
+    units = f"CAST(CAST(floor(abs({n})) AS DECIMAL(38,0)) AS STRING)"
+    zeros = fill and "0" in whole
+    digits = f"lpad({units}, {slots}, '0')" if zeros else units
+    if "," in f:
+        digits = f"reverse(regexp_replace(reverse({digits}), '([0-9]{{3}})(?=[0-9])', '$1,'))"
+    if fill and not zeros:
+        digits = f"concat(repeat(' ', {slots} - length({units})), {digits})"
+    tail = f", '.', substr(rpad(split_part(CAST(CAST(abs({n}) AS DECIMAL(38,{max(places, 1)})) AS STRING), '.', 2), {places}, '0'), 1, {places})" if "." in f else ""
+    out = f"concat(CASE WHEN {n} < 0 THEN '-' ELSE '{' ' if fill else ''}' END, {digits}{tail})"
+    if fill:
+        out = f"lpad({out}, greatest(length({out}), {len(f) + 1}), ' ')"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN length({units}) > {slots} THEN {quoted('#' * len(f))} ELSE {out} END"
 
 
 def to_date(x: str, fmt: str) -> str:

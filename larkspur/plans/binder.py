@@ -58,6 +58,8 @@ class Scope:
     sources: list[Source]
     parent: Scope | None = None
     outputs: list[Field] = field(default_factory=list)
+    grouped: bool = False
+    used: bool = False  # by a subquery
 
 
 @dataclass
@@ -272,6 +274,7 @@ class Binder:
             if len(found) > 1:
                 raise self.error("42702", f"Column {'.'.join(n.parts)} is ambiguous", n)
             if found:
+                here.used |= here is not scope
                 return Expr(found[0].sql, found[0].type)
             here = here.parent
         raise self.error("42703", f"Column {'.'.join(n.parts)} does not exist", n)
@@ -486,8 +489,11 @@ class Binder:
         return out
 
     def x_scalar(self, n, scope) -> Expr:
+        before, scope.used = scope.used, False
         q = self.subquery(n.query, scope)
-        return Expr(f"({q.sql})", q.columns[0][1])
+        correlated, scope.used = scope.used, before or scope.used
+        # of a group, the subquery sees one row; its columns are the same in all of them
+        return Expr(f"first(({q.sql}))" if correlated and scope.grouped else f"({q.sql})", q.columns[0][1])
 
     def x_exists(self, n, scope) -> Expr:
         return Expr(f"EXISTS ({self.subquery(n.query, scope, None).sql})", BOOLEAN)
@@ -544,7 +550,9 @@ class Binder:
             return Expr("count(1)", BIGINT, None, True)
         if len(n.args) != 1:
             raise self.error("42883", f"{n.name} takes one argument", n)
+        grouped, scope.grouped = scope.grouped, False
         e = self.expr(n.args[0], scope)
+        scope.grouped = grouped
         if e.agg:
             raise self.error("42803", "An aggregate cannot be inside another", n)
         d = "DISTINCT " if n.distinct else ""
@@ -901,6 +909,7 @@ class Binder:
             raise self.error("42712", "Two sources have the same name; give one an alias")
         scope = Scope(sources, parent)
         items: list[tuple[str, Expr]] = []
+        scope.grouped = n.groups is not None or _aggregated(n.items) or n.having is not None and _aggregated(n.having)
         for it in n.items:
             if it.kind == "Star":
                 q = tuple(it.qualifier)
@@ -916,6 +925,7 @@ class Binder:
             items.append((name, e))
         if not items:
             raise self.error("42601", "No columns to select")
+        grouped, scope.grouped = scope.grouped, False
         where = self.boolean(self.condition(n.where, scope, "WHERE")) if n.where else None
         groups = []
         for g in n.groups or []:
@@ -923,8 +933,8 @@ class Binder:
             if e.agg:
                 raise self.error("42803", "An aggregate cannot be grouped by", g)
             groups.append(e.sql)
+        scope.grouped = grouped
         having = self.boolean(self.expr(n.having, scope, "conjunct")) if n.having else None
-        grouped = n.groups is not None or having is not None or any(e.agg for _, e in items)
         if grouped and n.groups is None:
             self.check_global(n, sources)
         sql = f"SELECT {'DISTINCT ' if n.distinct else ''}{', '.join(f'{e.sql} AS c{i}' for i, (_, e) in enumerate(items))}"
@@ -935,7 +945,8 @@ class Binder:
         if groups:
             sql += f" GROUP BY {', '.join(groups)}"
         if having:
-            sql += f" HAVING {having}" if groups or any(e.agg for _, e in items) else f" GROUP BY () HAVING {having}"
+            # without groups or aggregates HAVING is a condition on the rows there are
+            sql += f" HAVING {having}" if grouped else f"{' AND' if where else ' WHERE'} {having}"
         columns = [(c, e.type) for c, e in items]
         if outer is not None:
             if outer.for_update and (n.distinct or grouped or any(s.table is None for s in sources)):
@@ -970,6 +981,15 @@ class Binder:
             raise self.error("42803", "A column must be grouped by or inside an aggregate", n)
 
 
+def _aggregated(n) -> bool:
+    """Whether a tree has an aggregate of its own, not of a subquery."""
+    if isinstance(n, list):
+        return any(map(_aggregated, n))
+    if not isinstance(n, Node) or n.kind in ("Scalar", "Exists"):
+        return False
+    return n.kind == "Call" and n.name in AGGREGATES or any(_aggregated(v) for k, v in n.__dict__.items() if k != "query")
+
+
 def _has_zone(text: str) -> bool:
     import re
 
