@@ -48,7 +48,7 @@ def from_spark(error: Exception) -> SqlError:
         return error
     text = str(error)
     if m := RAISED.search(text):
-        return SqlError(m[1], m[2].strip())
+        return SqlError(m[1], re.sub(r" *SQLSTATE: \w+$", "", m[2]).strip())
     condition = (getattr(error, "getCondition", lambda: None)() or "").split(".")[0]
     if not condition and (m := re.search(r"\[([A-Z_]+)(?:\.[A-Z_]+)?\]", text)):
         condition = m[1]

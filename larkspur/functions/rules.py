@@ -87,7 +87,7 @@ def text(x: str, t: Type) -> str:
     if k == "TIME":
         return clock(x, t.a)
     if k == "TIMETZ":
-        local = f"pmod({x}.t + {x}.off * 60000000, {DAY})"
+        local = f"pmod({x}.t + {x}.off * 60000000L, {DAY})"
         return f"concat({clock(local, t.a)}, {offset_text(f'{x}.off')})"
     if k == "TIMESTAMP":
         return stamp_text(x, t.a)

@@ -1,0 +1 @@
+"""The dialect has no streams: results are read as snapshots, page by page (session.Result.fetch)."""
