@@ -261,6 +261,7 @@ def _from_text(s: str, raw: str, t: Type, zone: str, today: str) -> str:
         value = f"try_cast({bare} AS TIMESTAMP_NTZ)"
         local = f"CASE WHEN {value} IS NULL THEN {fail('22008', 'Date or time field is out of range', 'timestamp_ntz')} ELSE {value} END"
         if k == "TIMESTAMPTZ":
+            local = fit_stamp(f"({local})", t.a)
             digits = f"regexp_replace({zoned}, '[^0-9]', '')"
             off = f"CAST((CASE WHEN {zoned} LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr({digits}, 1, length({digits}) - 2) AS INT) * 60 + CAST(right({digits}, 2) AS INT)) AS INT)"
             own = f"named_struct('ts', timestampadd(MINUTE, -({off}), {local}), 'off', {off})"
@@ -380,14 +381,14 @@ def to_date(x: str, fmt: str) -> str:
             pattern += re.sub(r"([^\w ])", r"[\1]" if t != "^" else r"\\^", t.strip('"') if t.startswith('"') else t)
     pattern = quoted(pattern + "$")
     get = lambda g: f"regexp_extract({x}, {pattern}, {groups.index(g) + 1})" if g in groups else None
-    number = lambda g, other: f"CAST({get(g)} AS INT)" if g in groups else other
+    number = lambda g, other: f"try_cast({get(g)} AS INT)" if g in groups else other
     year = number("YYYY", f"(2000 + {number('YY', '0')})" if "YY" in groups else "1970")
     hour = number("HH24", None) or "0"
     if "HH24" not in groups and ("HH" in groups or "HH12" in groups):
         hour = number("HH" if "HH" in groups else "HH12", "0")
         if "AM" in groups:
             hour = f"({hour} % 12 + CASE WHEN upper({get('AM')}) = 'PM' THEN 12 ELSE 0 END)"
-    frac = f"CAST(rpad({get('FF')}, 6, '0') AS INT)" if "FF" in groups else "0"
+    frac = f"try_cast(rpad({get('FF')}, 6, '0') AS INT)" if "FF" in groups else "0"
     date = f"concat(lpad(CAST({year} AS STRING), 4, '0'), '-', lpad(CAST({number('MM', '1')} AS STRING), 2, '0'), '-', lpad(CAST({number('DD', '1')} AS STRING), 2, '0'))"
     time = f"concat(' ', lpad(CAST({hour} AS STRING), 2, '0'), ':', lpad(CAST({number('MI', '0')} AS STRING), 2, '0'), ':', lpad(CAST({number('SS', '0')} AS STRING), 2, '0'))"
     value = f"try_cast(concat({date}, {time}) AS TIMESTAMP_NTZ)"
