@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import os
 
-from larkspur.dialect.parser import GROUPS as GROUPS_ALL
 from larkspur.dialect.parser import PRIVILEGES, Node
 from larkspur.errors import SqlError
 

@@ -16,7 +16,6 @@ import itertools
 from dataclasses import dataclass, field
 
 from larkspur.dialect import types as T
-from larkspur.dialect.lexer import position  # noqa: F401
 from larkspur.dialect.parser import Node, parse
 from larkspur.dialect.types import BIGINT, BOOLEAN, DATE, DOUBLE, INTEGER, NULL, Type, decimal, varchar
 from larkspur.errors import SqlError, unsupported
@@ -88,7 +87,7 @@ class Binder:
 
     def __init__(self, catalog, now, params=(), zone="UTC", user="SYSTEM", space=None):
         self.catalog, self.now, self.params, self.zone, self.user, self.space = catalog, now, list(params), zone, user, space
-        self.ids = itertools.count(1)
+        self.ids, self.describing = itertools.count(1), False
         self.viewing: list[tuple[str, str]] = []
 
     # expressions: helpers
@@ -877,6 +876,8 @@ class Binder:
         for word, e in (("LIMIT", n.limit), ("OFFSET", n.offset)):
             if e is None:
                 continue
+            if e.kind == "Param" and self.describing:
+                continue
             v = self.params[e.index - 1] if e.kind == "Param" else int(e.text) if e.kind == "Number" and e.text.lstrip("-").isdigit() else None
             if isinstance(v, bool) or not isinstance(v, int) or v < 0:
                 raise self.error("22023", f"{word} takes a whole number from 0", e)

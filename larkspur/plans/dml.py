@@ -18,12 +18,13 @@ from larkspur.dialect.types import NULL, Type
 from larkspur.errors import SqlError
 from larkspur.functions import rules as R
 from larkspur.plans.binder import AGGREGATES, Binder, Expr, Scope
-from larkspur.sources.store import type_of
+from larkspur.sources.store import SEGMENT, type_of
 
-SEGMENT = "__segment"
+PLACE = ["__file", "__row"]
 
 
 def execute(session, n: Node, params: list) -> int:
+    session.unchecked = []  # foreign keys to look at when all actions have ended
     return {"Insert": insert, "Update": update, "Delete": delete}[n.kind](session, n, params)
 
 
@@ -155,11 +156,9 @@ def insert(session, n: Node, params: list) -> int:
 
 
 def marked(session, t: Target, n: Node, params: list, sets: list[tuple[dict, str]], scope_of) -> DataFrame:
-    """All rows with their segment, whether the statement hits them, and their new values under n_<id>."""
+    """The rows that a statement hits, with where they stand and their new values under n_<id>."""
     store, view = session.db.store, f"larkspur_target_{id(n):x}"
-    parts = [store.read(t.table, [s]).withColumn(SEGMENT, F.lit(s)) for s in t.table["segments"]]
-    every = reduce(DataFrame.unionAll, parts)
-    every.createOrReplaceTempView(view)
+    store.located(t.table).createOrReplaceTempView(view)
     session.views.append(view)
     b, scope = scope_of
     conds = []
@@ -211,19 +210,18 @@ def delete(session, n: Node, params: list) -> int:
 
 
 def change(session, space: str, name: str, hits: DataFrame, ids: set[str] | None, check: bool = True) -> int:
-    """Applies hits (old row, segment, new values n_<id>; ids None: deleted) to a table, then to its children."""
+    """Applies hits (old row, its place, new values n_<id>; ids None: deleted) to a table, then to its children."""
     store, m = session.db.store, session.manifest
     table = m["spaces"][space]["tables"][name]
     columns = [c["id"] for c in table["columns"]]
-    staged = store.write(hits)
-    hits = session.spark.read.schema(hits.schema).parquet(f"{store.root}/data/{staged}")
+    hits = store.stage(hits)
     per = {r[SEGMENT]: r["count"] for r in hits.groupBy(SEGMENT).count().collect()}
     if not per:
         return 0
     keep = [s for s in table["segments"] if s not in per]
-    old = store.read(table, [s for s in table["segments"] if s in per])
-    # rows carry no identity: as many equal rows stay as were not hit
-    left = old.exceptAll(hits.select(*columns))
+    old = store.located({**table, "segments": [s for s in table["segments"] if s in per]})
+    # only the places of the hits are looked up, so few hits are broadcast and old rows aren't shuffled
+    left = old.join(hits.select(*PLACE), PLACE, "left_anti").select(*columns)
     new = None
     if ids is not None:
         new = hits.select(*[F.col(f"n_{c}" if c in ids else c).alias(c) for c in columns])
@@ -238,23 +236,19 @@ def change(session, space: str, name: str, hits: DataFrame, ids: set[str] | None
         check_rows(session, space, name, new, old=None, pk=any(c in ids for c in pk))
         for fk in table["fks"]:
             if any(_id(table, c) in ids for c in fk["columns"]):
-                check_later(session, space, name, fk, new)
+                session.unchecked.append((space, name, fk, new))
     if children:
         keys = hits.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(pk)], *[(F.col(f"n_{c}") if ids and c in ids else F.col(c) if ids is not None else F.lit(None).cast(hits.schema[c].dataType)).alias(f"n{i}") for i, c in enumerate(pk)], F.lit(ids is None).alias("gone"))
         keys = keys.filter(F.col("gone") | reduce(Column.__or__, [F.col(f"o{i}") != F.col(f"n{i}") for i in range(len(pk))]))
         # a key that another row has taken since is still there
         now = store.read(table).select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(pk)])
         keys = keys.join(now, [f"o{i}" for i in range(len(pk))], "left_anti")
-        staged = store.write(keys)
-        keys = session.spark.read.schema(keys.schema).parquet(f"{store.root}/data/{staged}")
+        keys = store.stage(keys)
         if keys.take(1):
             for child, fk in children:
                 follow(session, space, child, fk, table, keys)
-    pending = session.__dict__.setdefault("_pending", [])
-    if check:
-        while pending:
-            where, child, fk, rows = pending.pop()
-            check_child(session, where, child, fk, rows)
+    while check and session.unchecked:
+        check_child(session, *session.unchecked.pop())
     return sum(per.values())
 
 
@@ -267,12 +261,12 @@ def follow(session, space: str, child: str, fk: dict, parent: dict, keys: DataFr
     ids = [_id(table, c) for c in fk["columns"]]
     order = [parent["pk"]["columns"].index(p) for p in fk["parent_columns"]]
     match = reduce(Column.__and__, [F.col(i) == F.col(f"o{k}") for i, k in zip(ids, order, strict=True)])
-    rows = reduce(DataFrame.unionAll, [store.read(table, [s]).withColumn(SEGMENT, F.lit(s)) for s in table["segments"]])
+    rows = store.located(table)
     for gone, action in ((True, fk["delete"]), (False, fk["update"])):
         hits = rows.join(keys.filter(F.col("gone") == gone), match)
-        plain = [c["id"] for c in table["columns"]] + [SEGMENT]
+        plain = [c["id"] for c in table["columns"]] + [SEGMENT, *PLACE]
         if action in ("NO ACTION", "RESTRICT"):
-            session.__dict__.setdefault("_pending", []).append((space, child, fk, None))
+            session.unchecked.append((space, child, fk, None))
         elif action == "CASCADE" and gone:
             change(session, space, child, hits.select(*plain), None, check=False)
         else:
@@ -284,7 +278,7 @@ def follow(session, space: str, child: str, fk: dict, parent: dict, keys: DataFr
         table = session.manifest["spaces"][space]["tables"][child]
         if not table["segments"]:
             return
-        rows = reduce(DataFrame.unionAll, [store.read(table, [s]).withColumn(SEGMENT, F.lit(s)) for s in table["segments"]])
+        rows = store.located(table)
 
 
 def _referencing(m: dict, space: str, name: str):
@@ -324,10 +318,6 @@ def check_table(session, space: str, name: str, not_null=(), pk: bool = False) -
         raise SqlError("23505", f"Primary key {table['pk']['name']} of {name} would hold a value twice")
 
 
-def check_later(session, space, name, fk, rows) -> None:
-    session.__dict__.setdefault("_pending", []).append((space, name, fk, rows))
-
-
 def check_child(session, space: str, name: str, fk: dict, rows: DataFrame | None = None) -> None:
     """Every foreign key without a NULL has its parent row."""
     s = session.manifest["spaces"][space]["tables"]

@@ -100,6 +100,7 @@ class Session:
     def __init__(self, db: Database, user: str, space: str | None):
         self.db, self.spark, self.user, self.space = db, db.spark, user, space
         self.number, self.autocommit, self.zone, self.txn = next(_numbers), True, "UTC", None
+        self.clock, self.views, self.unchecked = self.now(), [], []
         db.sessions[self.number] = self
 
     def close(self) -> None:
@@ -325,7 +326,9 @@ class Prepared:
         self.stamp = self._stamp()
         if self.tree.kind == "Query":
             session.clock, session.views = session.now(), []
-            self.columns = session.bind(self.tree.query, ["0"] * 0 + [None] * self.tree.params).columns
+            binder = session.binder([None] * self.tree.params)
+            binder.describing = True
+            self.columns = binder.query(self.tree.query, None).columns
 
     def _stamp(self):
         spaces = self.session.manifest["spaces"]

@@ -14,11 +14,13 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.dialect.types import Type
 from larkspur.errors import SqlError
 
 KEEP = 5
+SEGMENT = "__segment"
 
 
 class Store:
@@ -71,6 +73,36 @@ class Store:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{s}" for s in segments])
 
 
+    def located(self, table: dict) -> DataFrame:
+        """A table's rows with where each stands: __segment, and __file and __row, which no other row shares."""
+        if not table["segments"]:
+            return self.read(table).withColumns({SEGMENT: F.lit(""), "__file": F.lit(""), "__row": F.lit(0).cast("long")})
+        df = self.read(table)
+        file = F.col("_metadata.file_path")
+        return df.select("*", F.regexp_extract(file, "/data/([0-9a-f]{32})/", 1).alias(SEGMENT), file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        """Rows written once, outside of any table, and read again; vacuum() takes them away."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/data/{self.write(df)}")
+
+    def vacuum(self) -> int:
+        """Deletes segments that no kept manifest names: those of rolled-back statements, stages and old versions. Returns how many.
+
+        To be run while no statement is under way."""
+        kept = set()
+        for v in self.versions():
+            stream = self.fs.open(self.path(f"{self.root}/manifest-{v:012d}.json"))
+            manifest = json.loads(self.io.toString(stream, "UTF-8"))
+            stream.close()
+            kept |= {x for s in manifest["spaces"].values() for t in s["tables"].values() for x in t["segments"]}
+        data = self.path(f"{self.root}/data")
+        found = [s.getPath() for s in self.fs.listStatus(data)] if self.fs.exists(data) else []
+        gone = [p for p in found if p.getName() not in kept]
+        for p in gone:
+            self.fs.delete(p, True)
+        return len(gone)
+
+
 def new_manifest() -> dict:
     return {"spaces": {"SYSTEM": new_space("SYSTEM")}, "users": {"SYSTEM": {"password": None, "space": None}}, "grants": [], "groups": {"SYSTEM": ["DBA"]}}
 

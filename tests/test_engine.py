@@ -166,6 +166,14 @@ def test_referential_actions(s, action, after_delete, after_update):
     assert rows(s, "SELECT * FROM C ORDER BY ID") == [(1, 1), (2, 2), (3, None)]
 
 
+def test_vacuum_keeps_what_tables_hold(s, db):
+    load(s, *EMP, "BEGIN", "DELETE FROM EMP", "ROLLBACK", "UPDATE EMP SET SAL = 1 WHERE ID < 3")
+    for _ in range(6):
+        s.execute("INSERT INTO EMP (ID) SELECT MAX(ID) + 1 FROM EMP")
+    assert db.store.vacuum() > 0 and db.store.vacuum() == 0
+    assert rows(s, "SELECT COUNT(*), SUM(SAL) FROM EMP") == [(10, D("13002.50"))]
+
+
 def test_cascades_reach_a_fixpoint(s):
     load(s, "CREATE TABLE T (ID INTEGER PRIMARY KEY, UP INTEGER REFERENCES T ON DELETE CASCADE)", "INSERT INTO T VALUES (1, NULL), (2, 1), (3, 2), (4, 3), (9, NULL)")
     assert s.execute("DELETE FROM T WHERE ID = 1").count == 1
@@ -247,6 +255,7 @@ def test_prepared_and_paged(s):
     assert sorted(p.execute((8,)).rows()) == [(str(i), 2) for i in range(4)]
     pages = list(s.execute("SELECT N FROM T ORDER BY N").fetch(20))
     assert [len(x) for x in pages] == [20, 20, 10] and [r[0] for x in pages for r in x] == list(range(50))
+    assert s.prepare("SELECT N FROM T ORDER BY N LIMIT ?").execute((2,)).rows() == [(0,), (1,)]
     held = s.execute("SELECT COUNT(*) FROM T")
     s.execute("ALTER TABLE T ADD X INTEGER")
     with pytest.raises(SqlError) as e:
