@@ -168,3 +168,9 @@ both("flagship", FLAGSHIP, "SELECT n_name AS nation, CAST(sum(CAST(o_totalprice
 both("pricing_summary", f"""SELECT l_returnflag, l_linestatus, SUM(CAST(l_quantity AS DECIMAL(18,2))) AS "q", SUM({MONEY}) AS "p",
 SUM(CAST({MONEY} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2))) AS "d", COUNT(*) AS "n" FROM lineitem
 WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS q, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS p, CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS d, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+both("j11_not_in_with_null", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 1) FROM orders) OR c_custkey < 0", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
+same("j11_not_in_correlated", "SELECT p_partkey FROM part p WHERE p_size NOT IN (SELECT l_linenumber FROM lineitem l WHERE l.l_partkey = p.p_partkey)")
+same("j11_not_in_empty", "SELECT n_nationkey FROM nation WHERE NULLIF(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AND NULLIF(n_nationkey, 3) NOT IN (SELECT r_regionkey FROM region)")
+same("q4_any_of_all_rows", "SELECT o_orderkey FROM orders WHERE o_totalprice <= ANY (SELECT p_retailprice * 2 FROM part) AND o_orderkey = ANY (SELECT l_orderkey FROM lineitem) OR o_orderkey <> ANY (SELECT 5 FROM region WHERE r_regionkey < 0)")
+same("q5_all_of_all_rows", "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_suppkey < 20) AND c_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_custkey < ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90)")
+same("q45_as_values", "SELECT n_nationkey, n_regionkey = ANY (SELECT NULLIF(r_regionkey, 2) FROM region) AS \"a\", n_regionkey <> ALL (SELECT NULLIF(r_regionkey, 2) FROM region) AS \"b\", n_regionkey >= ALL (SELECT r_regionkey FROM region) AS \"c\", n_regionkey < ANY (SELECT NULLIF(r_regionkey, 4) FROM region) AS \"d\", n_regionkey = ALL (SELECT 1 FROM region) AS \"e\", n_regionkey <> ANY (SELECT NULLIF(1, 2) FROM region) AS \"f\" FROM nation")

@@ -16,8 +16,15 @@ def join_using(left: DataFrame, right: DataFrame, columns: list[str], how: str =
 
 
 def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
-    """NOT IN over a query, aware of NULL: nothing is kept if the query has a NULL. Catalyst plans a null-aware anti join."""
-    return df.filter(~F.col(column).isin(other.select(other_column)))
+    """NOT IN over a query, aware of NULL: nothing is kept if the query has a NULL, everything if it has no rows, and a NULL never is in neither.
+
+    An anti join and two look-ups of one row, so nothing is broadcast whatever the query's size."""
+    keys = other.select(F.col(other_column).alias("__key"))
+    if not keys.take(1):
+        return df
+    if keys.filter("__key is null").take(1):
+        return df.limit(0)
+    return df.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("__key"), "left_anti")
 
 
 def any_match(df: DataFrame, other: DataFrame, condition: Column) -> DataFrame:

@@ -499,7 +499,10 @@ class Binder:
 
     def matched(self, n, scope, op: str):
         """The query as a source q, the operand, and the comparison of both."""
-        left, q = self.expr(n.left, scope), self.subquery(n.query, scope)
+        left = self.expr(n.left, scope)
+        before, scope.used = scope.used, False
+        q = self.subquery(n.query, scope)
+        self.correlated, scope.used = scope.used, before or scope.used
         name = f"q{next(self.ids)}"
         x, y = self.compared(left, Expr(f"{name}.c0", q.columns[0][1]))
         rows = lambda cond: f"EXISTS (SELECT 1 FROM ({q.sql}) {name} WHERE {cond})"
@@ -507,20 +510,50 @@ class Binder:
 
     def x_inquery(self, n, scope, where) -> Expr:
         left, q, x, y, same, rows, name = self.matched(n, scope, "=")
-        if where == "conjunct" or where == "filter" and not n.negated:
+        if where in ("conjunct", "filter") and not n.negated:
             inner = q.sql if y == f"{name}.c0" else f"SELECT {y} FROM ({q.sql}) {name}"
-            return Expr(f"({x} {'NOT ' if n.negated else ''}IN ({inner}))", BOOLEAN, None, left.agg)
+            return Expr(f"({x} IN ({inner}))", BOOLEAN, None, left.agg)
+        if where == "conjunct":
+            # Spark plans NOT IN as a broadcast of the whole query, whatever its size; these parts become an ordinary anti join and two yes-or-no subqueries
+            if self.correlated:
+                return Expr(f"(NOT {rows(f'{same} IS NOT FALSE')})", BOOLEAN, None, left.agg)
+            return Expr(f"(NOT {rows(same)} AND NOT {rows(f'{y} IS NULL')} AND ({x} IS NOT NULL OR NOT EXISTS ({q.sql})))", BOOLEAN, None, left.agg)
         test = f"CASE WHEN {rows(same)} THEN TRUE WHEN NOT EXISTS ({q.sql}) THEN FALSE WHEN {x} IS NULL OR {rows(f'{y} IS NULL')} THEN NULL ELSE FALSE END"
         return Expr(f"(NOT ({test}))" if n.negated else f"({test})", BOOLEAN, None, left.agg)
 
     def x_quantified(self, n, scope, where) -> Expr:
-        left, _, _, _, test, rows, _ = self.matched(n, scope, n.op)
+        left, q, x, y, test, rows, name = self.matched(n, scope, n.op)
+        if not self.correlated:
+            return Expr(self.quantified_by_ends(n, q, x, y, name, where), BOOLEAN, None, left.agg)
         if where in ("filter", "conjunct"):
             return Expr(f"NOT {rows(f'{test} IS NOT TRUE')}" if n.every else rows(test), BOOLEAN, None, left.agg)
         decided, value = (f"{test} IS FALSE", "FALSE") if n.every else (test, "TRUE")
         other = "TRUE" if n.every else "FALSE"
         return Expr(f"(CASE WHEN {rows(decided)} THEN {value} WHEN {rows(f'{test} IS NULL')} THEN NULL ELSE {other} END)", BOOLEAN, None, left.agg)
 
+    def quantified_by_ends(self, n, q, x, y, name, where) -> str:
+        """A comparison with all rows of a query that doesn't depend on the outer row is one with its least or greatest value: two aggregates, no join."""
+        ask = lambda what: f"(SELECT {what} FROM ({q.sql}) {name})"
+        low, high = ask(f"min({y})"), ask(f"max({y})")
+        none, nulls = f"{ask('count(1)')} = 0", f"{ask(f'count(1) - count({y})')} > 0"
+        if n.op == "=":
+            some = f"EXISTS (SELECT 1 FROM ({q.sql}) {name} WHERE {x} = {y})"
+            every = f"({x} = {low} AND {x} = {high})"
+        elif n.op == "<>":
+            some = f"({x} <> {low} OR {x} <> {high})"
+            every = f"NOT EXISTS (SELECT 1 FROM ({q.sql}) {name} WHERE {x} = {y})"
+        else:
+            near, far = (low, high) if n.op[0] == ">" else (high, low)
+            some, every = f"({x} {n.op} {near})", f"({x} {n.op} {far})"
+        unsure = f"({x} IS NULL OR {nulls})"
+        if n.every:
+            if where in ("filter", "conjunct"):
+                return f"({none} OR (NOT {unsure} AND {every}))"
+            return f"(CASE WHEN {none} THEN TRUE WHEN NOT {every} THEN FALSE WHEN {unsure} THEN NULL ELSE TRUE END)"
+        if where in ("filter", "conjunct"):
+            return some
+        return f"(CASE WHEN {some} THEN TRUE WHEN {none} THEN FALSE WHEN {unsure} THEN NULL ELSE FALSE END)"
+
     # functions
 
     def x_call(self, n, scope) -> Expr:
