@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.session import Database
+from larkspur.sources.store import scratch_folder
 
 TABLES = ("REGION", "NATION", "CUSTOMER", "SUPPLIER", "PART", "ORDERS", "LINEITEM", "EVENTS", "EMBEDDINGS")
 
@@ -30,6 +31,27 @@ def run_dialect(spark: SparkSession, sf_dir: str, text: str, params=(), zone: st
         return session.query(text, params)
     finally:
         session.close()
+        db.detach()
+
+
+def run_scenario(spark: SparkSession, sf_dir: str, statements: list[str], text: str) -> DataFrame:
+    """Statements in a new database beside the Parquet tables of a folder (tablespace SF), then a query."""
+    db = Database(spark, scratch_folder(spark))
+    words = set(re.findall(r"\bSF\.(\w+)", " ".join([*statements, text]).upper()))
+    db.attach("SF", {t: spark.read.parquet(f"{sf_dir}/{t.lower()}.parquet") for t in TABLES if t in words})
+    session = db.connect()
+    try:
+        for statement in ["CREATE TABLESPACE APP", "USE APP", *statements]:
+            session.execute(statement)
+        return session.query(text)
+    finally:
+        session.close()
+        db.detach()
+
+
+def scenario(name: str, statements: list[str], text: str, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run_scenario(spark, sf_dir, statements, text)
+    ORACLE_SQL[name] = oracle
 
 
 def same(name: str, text: str) -> None:
@@ -174,3 +196,30 @@ same("j11_not_in_empty", "SELECT n_nationkey FROM nation WHERE NULLIF(n_regionke
 same("q4_any_of_all_rows", "SELECT o_orderkey FROM orders WHERE o_totalprice <= ANY (SELECT p_retailprice * 2 FROM part) AND o_orderkey = ANY (SELECT l_orderkey FROM lineitem) OR o_orderkey <> ANY (SELECT 5 FROM region WHERE r_regionkey < 0)")
 same("q5_all_of_all_rows", "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_suppkey < 20) AND c_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_custkey < ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90)")
 same("q45_as_values", "SELECT n_nationkey, n_regionkey = ANY (SELECT NULLIF(r_regionkey, 2) FROM region) AS \"a\", n_regionkey <> ALL (SELECT NULLIF(r_regionkey, 2) FROM region) AS \"b\", n_regionkey >= ALL (SELECT r_regionkey FROM region) AS \"c\", n_regionkey < ANY (SELECT NULLIF(r_regionkey, 4) FROM region) AS \"d\", n_regionkey = ALL (SELECT 1 FROM region) AS \"e\", n_regionkey <> ANY (SELECT NULLIF(1, 2) FROM region) AS \"f\" FROM nation")
+
+# 2.1 views, overlays and dictionary, 2.10 DML, 2.11 DDL, 2.12 transactions
+
+_NATION = ["CREATE TABLE REG (K INTEGER PRIMARY KEY, NAME VARCHAR(30) NOT NULL)", "CREATE TABLE NAT (K INTEGER PRIMARY KEY, NAME VARCHAR(30), R INTEGER REFERENCES REG ON DELETE {d} ON UPDATE {u}, N DECIMAL(10,2) DEFAULT 1.5)", "INSERT INTO REG SELECT r_regionkey, r_name FROM SF.region", "INSERT INTO NAT (K, NAME, R) SELECT n_nationkey, n_name, n_regionkey FROM SF.nation"]
+
+
+def _nation(d: str = "NO ACTION", u: str = "NO ACTION") -> list[str]:
+    return [t.format(d=d, u=u) for t in _NATION]
+
+
+_ALL = 'SELECT K AS "k", NAME AS "name", R AS "r", N AS "n" FROM NAT'
+_BASE = "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r, CAST(1.5 AS DECIMAL(10,2)) AS n FROM nation"
+
+scenario("s3_read_own_changes", [*_nation(), "BEGIN", "UPDATE NAT SET N = N + K WHERE K < 10", "DELETE FROM NAT WHERE K = 3", "INSERT INTO NAT (K, NAME) VALUES (99, 'new')"], _ALL, f"SELECT k, name, r, CAST(CASE WHEN k < 10 THEN n + k ELSE n END AS DECIMAL(10,2)) AS n FROM ({_BASE}) WHERE k <> 3 UNION ALL SELECT 99, 'new', NULL, 1.5")
+scenario("s6_view_expansion", ["CREATE VIEW A (X, Y) AS SELECT n_nationkey, n_regionkey FROM SF.nation WHERE n_nationkey > 3", "CREATE VIEW B AS SELECT Y, COUNT(*) AS C FROM A GROUP BY Y"], 'SELECT B.Y AS "y", C AS "c", X AS "x" FROM B JOIN A ON A.Y = B.Y', "WITH a AS (SELECT n_nationkey AS x, n_regionkey AS y FROM nation WHERE n_nationkey > 3), b AS (SELECT y, count(*) AS c FROM a GROUP BY y) SELECT b.y, c, x FROM b JOIN a ON a.y = b.y")
+scenario("s10_dictionary", [*_nation("CASCADE", "SET NULL"), "CREATE INDEX ON NAT (NAME DESC, K)"], "SELECT C.CONSTRAINT_NAME AS \"c\", C.CONSTRAINT_TYPE AS \"t\", C.DELETE_RULE AS \"d\", C.UPDATE_RULE AS \"u\", K.COLUMN_NAME AS \"col\", T.DATA_TYPE AS \"type\" FROM SYS_CONSTRAINTS C JOIN SYS_CONSTRAINT_COLUMNS K ON C.CONSTRAINT_NAME = K.CONSTRAINT_NAME JOIN SYS_COLUMNS T ON T.TABLE_NAME = C.TABLE_NAME AND T.COLUMN_NAME = K.COLUMN_NAME", "SELECT * FROM (VALUES ('PK_REG', 'PRIMARY KEY', NULL, NULL, 'K', 'INTEGER'), ('PK_NAT', 'PRIMARY KEY', NULL, NULL, 'K', 'INTEGER'), ('FK_NAT_1', 'FOREIGN KEY', 'CASCADE', 'SET NULL', 'R', 'INTEGER')) v (c, t, d, u, col, type)")
+scenario("m1_insert_values", ["CREATE TABLE T (A INTEGER PRIMARY KEY, B VARCHAR(5) DEFAULT 'd', C DECIMAL(6,2))", "INSERT INTO T VALUES (1, 'x', 1.005), (2, DEFAULT, '7'), (3, NULL, NULL)", "INSERT INTO T (A) VALUES (4)"], 'SELECT A AS "a", B AS "b", C AS "c" FROM T', "SELECT a, b, CAST(c AS DECIMAL(6,2)) AS c FROM (VALUES (1, 'x', 1.01), (2, 'd', 7.00), (3, NULL, NULL), (4, 'd', NULL)) v (a, b, c)")
+scenario("m2_insert_select", _nation(), _ALL, _BASE)
+scenario("m4_update", [*_nation(), "UPDATE NAT X SET N = (SELECT COUNT(*) FROM NAT Y WHERE Y.R = X.R), NAME = UPPER(NAME) || '!' WHERE K > 4 AND R IN (SELECT K FROM REG WHERE K < 3)"], _ALL, f"SELECT k, CASE WHEN k > 4 AND r < 3 THEN upper(name) || '!' ELSE name END AS name, r, CAST(CASE WHEN k > 4 AND r < 3 THEN (SELECT count(*) FROM nation y WHERE y.n_regionkey = r) ELSE n END AS DECIMAL(10,2)) AS n FROM ({_BASE})")
+scenario("m5_delete", [*_nation(), "DELETE FROM NAT WHERE K > 4 AND NOT EXISTS (SELECT 1 FROM REG WHERE REG.K = NAT.R AND REG.K < 3)"], _ALL, f"SELECT * FROM ({_BASE}) WHERE NOT (k > 4 AND r >= 3)")
+scenario("m6_truncate", [*_nation(), "TRUNCATE TABLE NAT", "INSERT INTO NAT (K) VALUES (5)"], _ALL, "SELECT 5 AS k, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS r, CAST(1.5 AS DECIMAL(10,2)) AS n")
+scenario("m7_updatable_view", [*_nation(), "CREATE VIEW V (ID, PAY) AS SELECT K, N FROM NAT WHERE R = 1", "CREATE VIEW W AS SELECT * FROM V WHERE ID > 2", "UPDATE W SET PAY = PAY * 10", "DELETE FROM V WHERE ID < 3", "INSERT INTO V (ID) VALUES (77)"], _ALL, f"SELECT k, name, r, CAST(CASE WHEN r = 1 AND k > 2 THEN n * 10 ELSE n END AS DECIMAL(10,2)) AS n FROM ({_BASE}) WHERE NOT (r = 1 AND k < 3) UNION ALL SELECT 77, NULL, NULL, 1.5")
+scenario("m9_cascade", [*_nation("CASCADE", "CASCADE"), "DELETE FROM REG WHERE K = 2", "UPDATE REG SET K = K + 100 WHERE K > 2"], _ALL, f"SELECT k, name, CASE WHEN r > 2 THEN r + 100 ELSE r END AS r, n FROM ({_BASE}) WHERE r <> 2")
+scenario("m9_set_null", [*_nation("SET NULL", "SET NULL"), "DELETE FROM REG WHERE K = 2", "UPDATE REG SET K = K + 100 WHERE K > 3"], _ALL, f"SELECT k, name, CASE WHEN r > 3 OR r = 2 THEN NULL ELSE r END AS r, n FROM ({_BASE})")
+scenario("d2_alter_table", [*_nation(), "ALTER TABLE NAT ADD COLUMN X VARCHAR(5) DEFAULT 'q' NOT NULL", "ALTER TABLE NAT DROP COLUMN NAME", "ALTER TABLE NAT RENAME COLUMN N TO M", "ALTER TABLE NAT RENAME TO LAND", "INSERT INTO LAND (K, M) VALUES (50, 2)"], 'SELECT K AS "k", R AS "r", M AS "m", X AS "x" FROM LAND', f"SELECT k, r, n AS m, 'q' AS x FROM ({_BASE}) UNION ALL SELECT 50, NULL, 2, 'q'")
+scenario("t2_savepoints", [*_nation(), "BEGIN", "DELETE FROM NAT WHERE K > 20", "SAVEPOINT A", "UPDATE NAT SET N = 0", "ROLLBACK TO A", "INSERT INTO NAT (K) VALUES (60)", "COMMIT", "BEGIN", "DELETE FROM NAT", "ROLLBACK"], _ALL, f"SELECT * FROM ({_BASE}) WHERE k <= 20 UNION ALL SELECT 60, NULL, NULL, 1.5")
+scenario("t3_autocommit_off", [*_nation(), "SET AUTOCOMMIT OFF", "DELETE FROM NAT WHERE K = 1", "COMMIT", "DELETE FROM NAT", "ROLLBACK", "SET AUTOCOMMIT ON"], _ALL, f"SELECT * FROM ({_BASE}) WHERE k <> 1")

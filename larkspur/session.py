@@ -82,6 +82,13 @@ class Database:
             df.toDF(*[c.upper() for c in df.columns]).createOrReplaceTempView(view)
             own[name.upper()] = Relation([(f.name.upper(), declared(f.dataType)) for f in df.schema.fields if declared(f.dataType)], f"`{view}`", key=(space, name.upper()))
 
+    def detach(self) -> None:
+        """Forgets attached tables; DataFrames already made of them keep working."""
+        for own in self.attached.values():
+            for r in own.values():
+                self.spark.catalog.dropTempView(r.sql.strip("`"))
+        self.attached.clear()
+
     def connect(self, user: str = "SYSTEM", password: str = "", space: str | None = None) -> Session:
         _, m = self.load()
         if user not in m["users"] or not verify(password, m["users"][user]["password"]):

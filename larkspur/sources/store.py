@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import copy
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,12 @@ KEEP = 5
 SEGMENT = "__segment"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='larkspur-')}/db-{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
