@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import itertools
 import threading
@@ -34,29 +35,50 @@ class Result:
     frame: DataFrame | None = None
     message: str = ""
     count: int = -1
+    tag: str = ""
 
     def rows(self) -> list[tuple]:
         """All rows, as Python values. For large results use `fetch`."""
         try:
-            return [tuple(r) for r in self.frame.collect()] if self.frame is not None else []
+            with tagged(self.frame, self.tag):
+                return [tuple(r) for r in self.frame.collect()] if self.frame is not None else []
         except Exception as e:
             raise from_spark(e) from e
 
     def fetch(self, pages: int = 500):
         """Lists of up to `pages` rows; a partition at a time comes to the driver."""
         try:
-            it = self.frame.toLocalIterator()
-            while page := [tuple(r) for r in itertools.islice(it, pages)]:
+            with tagged(self.frame, self.tag):
+                it = self.frame.toLocalIterator()
+                page = [tuple(r) for r in itertools.islice(it, pages)]
+            while page:
                 yield page
+                with tagged(self.frame, self.tag):
+                    page = [tuple(r) for r in itertools.islice(it, pages)]
         except Exception as e:
             raise from_spark(e) from e
 
 
+@contextlib.contextmanager
+def tagged(frame: DataFrame | None, tag: str):
+    """Spark jobs started inside carry the session's tag, by which cancel() finds them."""
+    if frame is None or not tag:
+        yield
+        return
+    context = frame.sparkSession.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield
+    finally:
+        context.removeJobTag(tag)
+
+
 @dataclass
 class Transaction:
     base: int
     manifest: dict
     explicit: bool
+    start: dict
     savepoints: list[tuple[str, dict]] = field(default_factory=list)
     changed: bool = False
 
@@ -103,6 +125,24 @@ def declared(t: S.DataType) -> Type | None:
     return {S.StringType: varchar(65_535), S.ShortType: SMALLINT, S.ByteType: SMALLINT, S.IntegerType: INTEGER, S.LongType: BIGINT, S.FloatType: REAL, S.DoubleType: DOUBLE, S.BooleanType: BOOLEAN, S.DateType: DATE, S.TimestampNTZType: Type("TIMESTAMP", 6), S.BinaryType: Type("VARBINARY", 65_535)}.get(type(t))
 
 
+def merge(start: dict, mine: dict, latest: dict) -> dict | None:
+    """`latest` with the tables that `mine` has changed since `start`; None if they, or tables that keys link them to, have changed in `latest` too, or if `mine` has changed more than rows."""
+    bare = lambda m: {**m, "spaces": {s: {**v, "tables": {n: {**t, "segments": None} for n, t in v["tables"].items()}} for s, v in m["spaces"].items()}}
+    if bare(start) != bare(mine):
+        return None
+    out = fresh(latest)
+    for space, s in mine["spaces"].items():
+        old, now = start["spaces"][space]["tables"], latest["spaces"].get(space, {"tables": {}})["tables"]
+        for name, t in s["tables"].items():
+            if t == old[name]:
+                continue
+            linked = {name, *(f["parent"] for f in t["fks"]), *(c for c, x in now.items() if any(f["parent"] == name for f in x["fks"]))}
+            if any(now.get(x) != old.get(x) for x in linked):
+                return None
+            out["spaces"][space]["tables"][name] = t
+    return out
+
+
 class Session:
     def __init__(self, db: Database, user: str, space: str | None):
         self.db, self.spark, self.user, self.space = db, db.spark, user, space
@@ -126,17 +166,34 @@ class Session:
     def in_transaction(self) -> Transaction:
         if self.txn is None:
             base, m = self.db.load()
-            self.txn = Transaction(base, fresh(m), False)
+            self.txn = Transaction(base, fresh(m), False, start=m)
         return self.txn
 
+    def refresh(self) -> None:
+        """READ COMMITTED: before a statement, what others have committed to tables that this transaction hasn't changed comes in."""
+        txn = self.txn
+        if txn is None or txn.savepoints or self.db.store is None:
+            return
+        version, latest = self.db.load()
+        if version != txn.base and (merged := merge(txn.start, txn.manifest, latest)) is not None:
+            txn.base, txn.start, txn.manifest = version, latest, merged
+
     def commit(self) -> None:
         txn, self.txn = self.txn, None
         if txn is not None and txn.changed:
+            if self.db.store is None:
+                self.db.memory = txn.manifest
+                return
             with self.db.lock:
-                if self.db.store:
-                    self.db.store.save(txn.base, txn.manifest)
-                else:
-                    self.db.memory = txn.manifest
+                for _ in range(10):
+                    version, latest = self.db.load()
+                    mine = txn.manifest if version == txn.base else merge(txn.start, txn.manifest, latest)
+                    if mine is None:
+                        break
+                    with contextlib.suppress(SqlError):  # another process was faster; look again
+                        self.db.store.save(version, mine)
+                        return
+            raise SqlError("40001", "Another session has changed the same tables meanwhile; run the transaction again")
 
     def rollback(self) -> None:
         self.txn = None
@@ -207,7 +264,10 @@ class Session:
         if n.params != len(params):
             raise SqlError("07001", f"The statement has {n.params} parameters; {len(params)} were given")
         self.clock, self.views = self.now(), []
+        self.refresh()
         Access(self.manifest, self.user).check(n, lambda name: self.access_key(name))
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
         try:
             if n.kind in DATA:
                 return self.data(n, params)
@@ -219,6 +279,7 @@ class Session:
         except Exception as e:
             raise from_spark(e) from e
         finally:
+            context.removeJobTag(self.tag)
             for v in self.views:
                 self.spark.catalog.dropTempView(v)
 
@@ -238,7 +299,7 @@ class Session:
     def data(self, n: Node, params: list) -> Result:
         if n.kind == "Query":
             bound = self.bind(n.query, params)
-            return Result(bound.columns, self.frame(bound), "SELECT")
+            return Result(bound.columns, self.frame(bound), "SELECT", tag=self.tag)
         if self.db.store is None:
             raise SqlError("25006", "This database is read only")
         txn = self.in_transaction()
@@ -320,8 +381,13 @@ class Session:
     def prepare(self, sql: str) -> Prepared:
         return Prepared(self, sql)
 
+    @property
+    def tag(self) -> str:
+        return f"larkspur-session-{self.number}"
+
     def cancel(self) -> None:
-        self.spark.sparkContext.cancelAllJobs()
+        """Stops this session's running jobs; to be called from another thread."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 class Prepared:

@@ -200,6 +200,20 @@ def test_transactions(s, db):
     assert one(other, "SELECT COUNT(*) FROM EMP") == 4 and fails(other, "SAVEPOINT X") == "25P01"
 
 
+def test_transactions_on_different_tables_both_commit(s, db):
+    load(s, "CREATE TABLE A (X INT)", "CREATE TABLE B (X INT)", "CREATE TABLE P (K INT PRIMARY KEY)", "CREATE TABLE C (K INT REFERENCES P)", "INSERT INTO P VALUES (1)")
+    other = db.connect(space="APP")
+    load(s, "BEGIN", "INSERT INTO A VALUES (1)")
+    load(other, "INSERT INTO B VALUES (2)")
+    assert rows(s, "SELECT * FROM B") == [(2,)]  # committed rows are seen within the transaction
+    s.execute("COMMIT")
+    assert rows(other, "SELECT A.X, B.X FROM A, B") == [(1, 2)]
+    load(s, "BEGIN", "INSERT INTO C VALUES (1)")
+    other.execute("DELETE FROM P")
+    assert fails(s, "COMMIT") == "40001"  # a key links the two
+    assert rows(s, "SELECT * FROM C") == []
+
+
 def test_views(s):
     load(s, *EMP, "CREATE VIEW RICH (K, N, PAY, TWICE) AS SELECT ID, NAME, SAL, SAL * 2 FROM EMP WHERE SAL > 5500", "CREATE VIEW R2 AS SELECT * FROM RICH WHERE K < 4")
     assert rows(s, "SELECT K, TWICE FROM R2 ORDER BY K") == [(2, D("14001.00")), (3, D("12000.00"))]
