@@ -426,7 +426,7 @@ def test_mixture_meets_targets(spark):
     rows = [(i, " ".join("w" * int(rng.integers(0, 60))), ["a", "b", "c", "D", None][min(4, int(rng.exponential(1.2)))], "clash") for i in range(3000)]
     rows += [(i, None, "a", None) for i in range(3)] + [(7, "x y", "only", None)] * 2 + [(None, "z", "b", None), (1, "", "empty", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
-    got = mixing.mix(docs, salt_rows=100).collect()
+    got = mixing.mix(docs, cell_rows=20).collect()
     assert len(got) == len(rows)
     sizes = {}
     for _, t, s, _ in rows:
@@ -438,7 +438,7 @@ def test_mixture_meets_targets(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(3, 0.001 * t), s
-    again = sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(docs, salt_rows=100).collect())
+    again = sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(docs, cell_rows=20).collect())
     assert again == sorted((str(r.doc_id), r.size, r.taken) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
 
