@@ -36,7 +36,7 @@ CUT = frozenset("head title script style noscript template iframe object embed s
 CUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-UNLIKELY = re.compile(r"^(ads?|adv|advert.*|adbox|adslot|adsense|sponsor.*|promot?e?d?|promos?|banners?|cookies?.*|consent.*|gdpr|notices?|notification.*|alerts?|popups?|popover|modal.*|overlay.*|paywall|sidebar.*|sidenav|rail|menu.*|nav|nav(bar|igation|menu|list)|topnav|breadcrumbs?|comments?|comment(list|s?area|s?section|form|box).*|disqus.*|repl(y|ies)|respond|discussion|share.*|sharing|social.*|related.*|recommend.*|footer.*|masthead|topbar|newsletter.*|subscri.*|signup|login.*|widgets?|toolbar|pagination|pager|skip.*|searchbox|searchform|outbrain|taboola)$")
+UNLIKELY = re.compile(r"^(ads?|adv|advert.*|adbox|adslot|adsense|sponsor.*|promot?e?d?|promos?|banners?|cookies?.*|consent.*|gdpr|notices?|notification.*|alerts?|popups?|popover|modal.*|overlay.*|paywall|sidebar.*|sidenav|menu.*|nav|nav(bar|igation|menu|list)|topnav|breadcrumbs?|comments?|comment(list|s?area|s?section|form|box).*|disqus.*|repl(y|ies)|respond|share.*|sharing|social.*|related.*|footer.*|masthead|topbar|newsletter.*|subscri.*|signup|login.*|toolbar|pagination|pager|skip|skiplink|skipnav|searchbox|searchform|outbrain|taboola)$")
 PAGE_HEADER = re.compile(r"^(header|siteheader|pageheader|topheader)$")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
