@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import functools
 import itertools
 import threading
 import uuid
@@ -11,6 +12,7 @@ import zoneinfo
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from larkspur.access import Access, verify
@@ -21,9 +23,10 @@ from larkspur.functions import rules as R
 from larkspur.plans import ddl, dml
 from larkspur.plans.binder import Binder, Bound, Relation
 from larkspur.sources import dictionary
-from larkspur.sources.store import Store, fresh, new_manifest, new_space, type_of
+from larkspur.sources.store import Store, fresh, new_manifest, new_space, scratch_folder, type_of
 
 DATA, DDL = ("Query", "Insert", "Update", "Delete"), ("Create", "Alter", "Drop", "Truncate", "Grant", "Revoke")
+MAX_PAGE = 100_000
 _numbers = itertools.count(1)
 
 
@@ -46,7 +49,8 @@ class Result:
             raise from_spark(e) from e
 
     def fetch(self, pages: int = 500):
-        """Lists of up to `pages` rows; a partition at a time comes to the driver."""
+        """Lists of up to `pages` rows (100,000 at most); a partition at a time comes to the driver."""
+        pages = min(pages, MAX_PAGE)
         try:
             with tagged(self.frame, self.tag):
                 it = self.frame.toLocalIterator()
@@ -59,6 +63,41 @@ class Result:
             raise from_spark(e) from e
 
 
+    def spool(self) -> Spool:
+        """The rows written once, to be read from any position, forwards or backwards."""
+        return Spool(self)
+
+
+class Spool:
+    """A result in files of the shared scratch folder. Spark numbers part files in order of the result's partitions, so a row's position is
+    its file's offset and its place in the file; the driver keeps one count a file."""
+
+    def __init__(self, result: Result):
+        spark = result.frame.sparkSession
+        self.columns, self.path = result.columns, scratch_folder(spark)
+        plain = result.frame.toDF(*[f"c{i}" for i in range(len(result.columns))])
+        plain.write.parquet(self.path)
+        self.rows = spark.read.schema(plain.schema).parquet(self.path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        counts = sorted((r["__file"], r["count"]) for r in self.rows.groupBy("__file").count().collect())
+        self.starts = list(itertools.accumulate([n for _, n in counts], initial=0))
+        self.files, self.count = [f for f, _ in counts], self.starts[-1]
+
+    def read(self, start: int, n: int = 500) -> list[tuple]:
+        """Rows start to start + n (100,000 at most), from 0; only files that hold them are read."""
+        end = min(start + min(n, MAX_PAGE), self.count)
+        some = [(f, max(start, a) - a, min(end, b) - a) for f, (a, b) in zip(self.files, itertools.pairwise(self.starts), strict=True) if a < end and b > start]
+        if start >= end or not some:
+            return []
+        parts = [(F.col("__file") == f) & (F.col("__row") >= lo) & (F.col("__row") < hi) for f, lo, hi in some]
+        wanted = self.rows.filter(functools.reduce(lambda a, b: a | b, parts)).orderBy("__file", "__row")
+        return [tuple(r) for r in wanted.drop("__file", "__row").collect()]
+
+    def close(self) -> None:
+        spark = self.rows.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextlib.contextmanager
 def tagged(frame: DataFrame | None, tag: str):
     """Spark jobs started inside carry the session's tag, by which cancel() finds them."""

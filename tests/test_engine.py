@@ -270,6 +270,9 @@ def test_prepared_and_paged(s):
     pages = list(s.execute("SELECT N FROM T ORDER BY N").fetch(20))
     assert [len(x) for x in pages] == [20, 20, 10] and [r[0] for x in pages for r in x] == list(range(50))
     assert s.prepare("SELECT N FROM T ORDER BY N LIMIT ?").execute((2,)).rows() == [(0,), (1,)]
+    spool = s.execute("SELECT N, V FROM T ORDER BY N DESC").spool()
+    assert spool.count == 50 and spool.read(0, 2) == [(49, "1"), (48, "0")] and spool.read(45) == [(4, "0"), (3, "3"), (2, "2"), (1, "1"), (0, "0")] and spool.read(10, 1) == [(39, "3")] and spool.read(50) == []
+    spool.close()
     held = s.execute("SELECT COUNT(*) FROM T")
     s.execute("ALTER TABLE T ADD X INTEGER")
     with pytest.raises(SqlError) as e:
