@@ -12,7 +12,10 @@ Spark's resolution rules.
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal as dec
 import itertools
+import re
 from dataclasses import dataclass, field
 
 from larkspur.dialect import types as T
@@ -220,9 +223,6 @@ class Binder:
         return Expr("NULL", NULL) if n.value == "NULL" else Expr(n.value, BOOLEAN)
 
     def x_param(self, n, scope) -> Expr:
-        import datetime as dt
-        import decimal as dec
-
         v = self.params[n.index - 1]
         if v is None:
             return Expr("NULL", NULL)
@@ -251,7 +251,8 @@ class Binder:
 
     def x_temporal(self, n, scope) -> Expr:
         zoned = n.zone if n.zone is not None else bool(n.what != "DATE" and _has_zone(n.text))
-        digits = min(6, len(n.text.rsplit(".", 1)[1].rstrip("+-:0123456789Z ") or n.text.rsplit(".", 1)[1].split("+")[0].split("-")[0])) if "." in n.text else 0
+        fraction = re.search(r"[.](\d+)", n.text)
+        digits = min(6, len(fraction[1])) if fraction else 0
         t = DATE if n.what == "DATE" else Type(n.what + ("TZ" if zoned else ""), digits if n.what == "TIME" else 6)
         return Expr(self.literal(n.text, t), t)
 
@@ -716,7 +717,7 @@ class Binder:
         if abs(k) > 1000:
             raise self.error("22023", "Too many digits to round to", n)
         if x.type.kind in T.FLOATS:
-            return Expr(R.round_float(f"CAST({x.sql} AS DOUBLE)", str(k)), x.type if x.type == DOUBLE else DOUBLE) if k <= 300 else x
+            return Expr(R.round_float(f"CAST({x.sql} AS DOUBLE)", str(k)), DOUBLE) if k <= 300 else x
         if x.type.kind in T.INTS:
             return Expr(f"CAST(round(CAST({x.sql} AS DECIMAL(20,0)), {max(k, -38)}) AS {x.type.spark})" if k < 0 else x.sql, x.type)
         t = Type("DECIMAL", x.type.a, max(0, min(x.type.b, k)))
@@ -1025,6 +1026,4 @@ def _aggregated(n) -> bool:
 
 
 def _has_zone(text: str) -> bool:
-    import re
-
     return bool(re.search(r":\d\d([.]\d*)?\s*(Z|[+-]\d\d?:?\d\d)\s*$", text))

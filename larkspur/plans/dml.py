@@ -17,7 +17,8 @@ from larkspur.dialect.parser import Node, parse
 from larkspur.dialect.types import NULL, Type
 from larkspur.errors import SqlError
 from larkspur.functions import rules as R
-from larkspur.plans.binder import AGGREGATES, Binder, Expr, Scope
+from larkspur.plans.binder import AGGREGATES, Binder, Expr, Field, Scope, Source, tick
+from larkspur.sources import dictionary
 from larkspur.sources.store import SEGMENT, type_of
 
 PLACE = ["__file", "__row"]
@@ -49,8 +50,6 @@ def target(session, name: Node, at_space: str | None = None) -> Target:
         return Target(space, name.name, t, {c["name"]: c["name"] for c in t["columns"]}, [])
     v = s["views"].get(name.name)
     if v is None:
-        from larkspur.sources import dictionary
-
         if name.name == "DUAL" or name.name in dictionary.COLUMNS:
             raise SqlError("42809", f"{name.name} is read only", name.at)
         raise SqlError("42P01", f"Table or view {space}.{name.name} does not exist", name.at)
@@ -174,8 +173,6 @@ def marked(session, t: Target, n: Node, params: list, sets: list[tuple[dict, str
 
 
 def row_scope(t: Target, columns: dict[str, str | None], alias: str) -> Scope:
-    from larkspur.plans.binder import Field, Source, tick
-
     by = {c["name"]: c for c in t.table["columns"]}
     fields = [Field(shown, type_of(by[c]["type"]), f"t.{tick(by[c]['id'])}") for shown, c in columns.items() if c is not None]
     return Scope([Source([(alias,)], fields)])

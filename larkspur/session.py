@@ -6,6 +6,7 @@ import contextlib
 import datetime as dt
 import functools
 import itertools
+import re
 import threading
 import uuid
 import zoneinfo
@@ -453,8 +454,6 @@ class Prepared:
 
 
 def _zone(name: str):
-    import re
-
     if m := re.fullmatch(r"([+-])(\d{1,2}):(\d{2})", name):
         return dt.timezone((1 if m[1] == "+" else -1) * dt.timedelta(hours=int(m[2]), minutes=int(m[3])))
     try:
