@@ -26,7 +26,6 @@ import zlib
 from datetime import UTC, datetime, timedelta
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
