@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,10 @@ def _remove_scratch() -> None:
     if spark is None or spark.sparkContext._jsc is None:
         return
     jvm = spark.sparkContext._jvm
-    for path in _written:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended before Python does
+        for path in _written:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
