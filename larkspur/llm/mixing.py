@@ -13,8 +13,8 @@ Hessian of disjoint constraints is diagonal, so lambda stays a distributed colum
 
 Copies: systematic rounding. Documents of a source are put in order of size class (powers of two),
 salt and size; copies are floor(r * place) - floor(r * (place - 1)), so every stretch of the order
-has its share of copies. Places come from a two-level prefix sum: a salt holds about `salt_rows`
-documents, so the hottest source is split over many tasks. What remains between the words taken and
+has its share of copies. Places come from a two-level prefix sum: each size class of a source has as
+many salts as keep a salt near `cell_rows` documents, so the hottest source is split over many tasks. What remains between the words taken and
 the target is at last closed greedily, from the largest size down, by one copy more or less of at
 most 4 documents in each size class.
 
@@ -75,21 +75,24 @@ def _hash(*names: str) -> Column:
     return F.xxhash64(*names, F.lit("mix"))
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", salt_rows: int = 50_000, **rule) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", cell_rows: int = 2_000, **rule) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken) for every row of `docs`."""
     rows = written(docs.select("doc_id", F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    rows = written(_mixed(rows, salt_rows, rule), "copies")
+    rows = written(_mixed(rows, cell_rows, rule), "copies")
     return _closed(rows)
 
 
-def _mixed(rows: DataFrame, salt_rows: int, rule: dict) -> DataFrame:
-    per_source = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
-    goal = tilt(targets(per_source.select("source", "source_size"), **rule))
-    salts = max(1, -(-(per_source.agg(F.sum("n")).first()[0] or 0) // salt_rows))
+def _mixed(rows: DataFrame, cell_rows: int, rule: dict) -> DataFrame:
+    per_source = written(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    goal = tilt(targets(per_source, **rule))
     # rates just under a whole number (2 of 2 words) must not lose copies to the last bits of exp
     rate = F.least(F.lit(float(rule.get("most", MOST))), F.round(F.exp("lambda"), 9))
     goal = goal.select(F.col("source").alias("s"), "source_size", "target", F.when((F.col("source_size") > 0) & (F.col("target") > 0), rate).otherwise(0.0).alias("rate"))
-    dealt = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int")).withColumn("salt", F.pmod(_hash("doc_id"), F.lit(salts)).cast("int"))
+    classed = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
+    per_class = classed.groupBy("source", "class").agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("salts"))
+    per_class = per_class.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), "salts")
+    dealt = classed.join(per_class, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))).drop("c_source", "c_class")
+    dealt = dealt.withColumn("salt", F.pmod(_hash("doc_id"), F.col("salts")).cast("int")).drop("salts")
     cell = ["source", "class", "salt"]
     counts = dealt.groupBy(*cell).count()
     base = counts.withColumn("base", F.sum("count").over(Window.partitionBy("source").orderBy(F.desc("class"), "salt").rowsBetween(Window.unboundedPreceding, -1)))
