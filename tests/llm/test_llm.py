@@ -234,11 +234,15 @@ def test_chat_digests(spark):
 
 def plain_signatures(text):
     common = set(spotsigs.COMMON)
+    anchor = lambda w: w in common or (ord(w[0]) + 7 * len(w)) % spotsigs.DRAWN == 0
+    digest = lambda s: hashlib.md5(s.encode()).hexdigest()[:16]
     ws = [w for w in re.split(r"[^\w]+|_+", text.lower()) if w]
     content = [i for i, w in enumerate(ws) if w not in common]
-    out = {hashlib.md5(" ".join([ws[i - 1], *(ws[j] for j in content[k : k + spotsigs.CHAIN])]).encode()).hexdigest()[:16] for k, i in enumerate(content) if i > 0 and ws[i - 1] in common and k + spotsigs.CHAIN <= len(content)}
+    if ws and len(text) < spotsigs.SHORT:
+        return sorted({digest(f"{ws[i - 1] if i else ''} {w}") for i, w in enumerate(ws)})
+    out = {digest(" ".join([ws[i - 1], *(ws[j] for j in content[k : k + spotsigs.CHAIN])])) for k, i in enumerate(content) if i > 0 and anchor(ws[i - 1]) and k + spotsigs.CHAIN <= len(content)}
     if not out and text:
-        out = {hashlib.md5((" ".join(ws) if ws else text).encode()).hexdigest()[:16]}
+        out = {digest(" ".join(ws) if ws else text)}
     return sorted(out)
 
 
@@ -252,6 +256,7 @@ def test_spotsigs_equal_brute_force(spark):
     want = [(d, t or "", order[(i + 1) % len(order)][1] or "") for i, (d, t) in enumerate(order)]
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    df = df.unionAll(spark.createDataFrame([(1, "| ".join(f"zq{i}x" for i in range(200))), (2, "? " * 400), (3, "the of and " * 100)], df.schema))
     sigs = df.select("text", spotsigs.signatures(F.col("text")).alias("s")).collect()
     for r in sigs:
         assert r.s == plain_signatures(r.text or "")
@@ -264,6 +269,31 @@ def test_likeness_and_length_classes(spark):
     assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"), 0.8)).collect()] == [1.0, 0.0, 1 / 3, 0.9, 1.0]
 
 
+def test_near_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(25):
+        base = long_text(3000 + k, int(rng.integers(60, 400))).split()
+        base = [w if rng.random() > 0.2 else str(rng.choice(["the", "of", "and"])) for w in base]
+        for _ in range(int(rng.integers(1, 5))):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 8))):
+                copy[int(rng.integers(0, len(copy)))] = "changed"
+            texts.append(" ".join(copy))
+    texts += [texts[0], None, "", "short text", "short text here"]
+    docs = documents(spark, texts)
+    sets, first = {i: frozenset(plain_signatures(t or "")) for i, t in enumerate(texts)}, {}
+    for i, x in sets.items():
+        first.setdefault(x, i)
+    reps = {i: x for x, i in first.items() if x}
+    want = {(a, b): len(reps[a] & reps[b]) / len(reps[a] | reps[b]) for a, b in itertools.combinations(sorted(reps), 2)}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    got = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(docs).collect()}
+    assert got.keys() == want.keys() and len(want) > 15 and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    assert {r.doc_id: r.class_id for r in spotsigs.classes(docs).collect()} == {i: first[x] for i, x in sets.items()}
+    assert spotsigs.near_pairs(docs.limit(0)).count() == 0
+
+
 def test_with_next_of_one_and_of_none(spark):
     one = spark.createDataFrame([(5, "x y")], "doc_id long, text string")
     assert [tuple(r) for r in spotsigs.with_next(one).collect()] == [(5, "x y", "x y")]
@@ -399,6 +429,11 @@ def test_article_among_the_rest(spark):
     assert html_extract.extract(page).split("\n") == ["Title & more", prose, "Second one, link tail", "Short.", "one", "two <b>"]
 
 
+def test_what_names_do_not_cut():
+    page = '<article><header><h1>T</h1></header><div class="elementor-widget"><p>one</p></div><section id=discussion><p>two</p></section><figure><figcaption>cap</figcaption></figure><blockquote>q</blockquote><pre>a\n b</pre><div class="ad">x</div><div class=cookieNotice>y</div></article>'
+    assert html_extract.extract(page) == "T\none\ntwo\ncap\nq\na b"
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("no markup", "no markup"), ("<p>a<p>b<br>c", "a\nb c"), ("<script>x", ""), ("<div" * 3, ""), ("<div>" * 3000 + "x", "x"), ("<!-- a", ""), ("a &lt; b &amp;amp", "a < b &amp"), ("<article><p>x, y</p></article><p>&copy; z</p>", "x, y")])
 def test_broken_pages(page, text):
     assert html_extract.extract(page) == text
@@ -471,6 +506,26 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in final.collect()} == want
 
 
+@needs_data
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    base = long_text(77, 200)
+    rows = [(1, base, "en", "a", 1), (2, base, "en", None, None), (3, None, None, None, None), (4, "", "en", "a", 0), (5, "12 %", "fr", "b", 4), (6, long_text(78, 300), "fr", "b", 1), (6, long_text(78, 300), "fr", "b", 1), (None, long_text(79, 90), "en", "a", 1), (8, f"x {bench} y", "fr", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("component_id", F.lit(0))
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
+    assert ids(stages["language ID"](spark, docs.withColumn("lang", F.lit(None).cast("string")), SF)) == [0, 1, 2, 6, 6, 8]
+    deduped = stages["SimHash near-dedup"](spark, docs, SF)
+    assert deduped.columns == corpus_pipeline.COLUMNS and ids(deduped) == [0, 1, 3, 5, 6, 8]  # null and empty texts are alike
+    assert ids(stages["benchmark decontamination"](spark, docs, SF)) == [0, 1, 2, 3, 4, 5, 6, 6]
+    assert ids(stages["mixing to target weights"](spark, docs, SF)) == [0, 1, 2, 3, 4, 5, 6, 6, 8]
+    now = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, now, SF).count() == 0
+
+
 ORDER = ["language ID", "SimHash near-dedup", "benchmark decontamination", "mixing to target weights"]
 
 
