@@ -1,7 +1,9 @@
 """License scans by sentence rules, with DataFrame operations only.
 
-A text is cut into sentences (line ends, and white space after . ; : ! or ?), each normalised to
-lower-case words. Known sentences have identifiers; a document becomes the sequence of its known
+A text is cut into pieces (line ends, and white space after . ; : ! or ?), each normalised to
+lower-case words. A known sentence is a run of whole pieces with its words, so it may be wrapped over
+lines (comment marks and all), and hold 'v. 2.0' or a semicolon; it doesn't go on beyond an empty line. Of two
+that start at one piece the longer counts. Known sentences have identifiers; a document becomes the sequence of its known
 sentences' identifiers, other sentences between them notwithstanding. Licence rules are ordered
 sequences of identifiers; they are tried in order, longer and more specific rules first, and what a
 rule has matched is not matched again.
@@ -80,6 +82,9 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
 ]
 
+#: Any known sentence from the start of a piece to the end of one, longer ones first.
+_ANY = "(?m)^(" + "|".join(s.replace(" ", "[ \\n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")$"
+
 
 def _sequence(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
@@ -88,10 +93,10 @@ def _sequence(ids: list[str]) -> str:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, each in angle brackets, as one string."""
     ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([.;:!?])[\x20\x09-\x0D]+", "$1\n")
-    plain = F.regexp_replace(ended, r"[^\p{L}\p{N}\n]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(ended, r"[^\p{L}\p{N}\n]+", " "), r" *\n *", "\n")
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, f"<{i}>")])
-    found = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s.isin(list(SENTENCES.values())))
-    return F.array_join(F.transform(found, lambda s: F.element_at(known, s)), "")
+    found = F.regexp_extract_all(F.trim(plain), F.lit(_ANY), F.lit(1))
+    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))), "")
 
 
 def licenses(ids: Column) -> Column:

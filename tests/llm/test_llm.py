@@ -187,6 +187,75 @@ def test_license_rules_in_order(spark):
     assert license_scan.scan(documents(spark, texts).limit(0)).count() == 0
 
 
+MIT_TEXT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_TEXT = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+"""
+GPL_TEXT = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_published_licenses_as_they_are_wrapped(spark):
+    published = {"MIT": MIT_TEXT, "BSD-3-Clause": BSD_TEXT, "Apache-2.0": APACHE_TEXT, "GPL-3.0-or-later": GPL_TEXT.format(":", ",", 3), "GPL-2.0-or-later": GPL_TEXT.format(";", ";", 2), "ISC": ISC_TEXT, "MPL-2.0": MPL_TEXT}
+    marked = [t.replace("\n", "\r\n") for t in published.values()] + ["/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */" for t in published.values()]
+    marked += ["".join(f"# {x}\n" for x in t.splitlines()) for t in published.values()]
+    got = [(r.licenses, r.matches) for r in license_scan.scan(documents(spark, [*published.values(), *marked])).orderBy("doc_id").collect()]
+    assert got == [(name, 1) for name in published] * 4
+    ids = [r.sentence_ids for r in license_scan.scan(documents(spark, [APACHE_TEXT, "released under\n\nthe MIT License", "not released under the MIT License", "x\nReleased under the\nMIT License\ny"])).orderBy("doc_id").collect()]
+    assert ids == ["<apache-grant><apache-comply><apache-copy><apache-basis>", "<mit-title>", "", "<mit-short>"]
+
+
 # 5 chat formatting
 
 
