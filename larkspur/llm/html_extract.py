@@ -2,7 +2,9 @@
 
 The page becomes a tree (implied ends of p, li, td and the like included). What can't be article
 text is cut: scripts, styles, forms, menus, headers and footers of the page, sidebars, notices,
-adverts and reader comments, by element, role or the words of class and id. Every paragraph then
+adverts and reader comments, by element, role or whole names of class and id (article elements never by
+name). A form, or an element cut by its name, that holds more than half of the page's text out of links stays, unless an
+article or main element stands outside it or it is named for comments, consent or adverts. Every paragraph then
 passes points for its length and commas to its parent, half of them to the parent above and fewer
 further up, all discounted by the share of its text that is in links. The container with the most points is
 the article (or the article or main element around it); its siblings are kept too if they score a
@@ -37,6 +39,10 @@ CUT_ROLE = frozenset("navigation banner contentinfo complementary search form di
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 UNLIKELY = re.compile(r"^(ads?|adv|advert.*|adbox|adslot|adsense|sponsor.*|promot?e?d?|promos?|banners?|cookies?.*|consent.*|gdpr|notices?|notification.*|alerts?|popups?|popover|modal.*|overlay.*|paywall|sidebar.*|sidenav|menu.*|nav|nav(bar|igation|menu|list)|topnav|breadcrumbs?|comments?|comment(list|s?area|s?section|form|box).*|disqus.*|repl(y|ies)|respond|share.*|sharing|social.*|related.*|footer.*|masthead|topbar|newsletter.*|subscri.*|signup|login.*|toolbar|pagination|pager|skip|skiplink|skipnav|searchbox|searchform|outbrain|taboola)$")
+#: Names that cut whatever the element holds, words that may stand beside a listed one in a name, and words before one that say something else.
+SURE = re.compile(r"^(ads?|adv|advert.*|adbox|adslot|adsense|sponsor.*|cookies?.*|consent.*|gdpr|comments?|comment(list|s?area|s?section|form|box).*|disqus.*|repl(y|ies)|respond)$")
+BESIDE = frozenset("area bar block blog body bottom box button buttons center column container entry feed fixed float floating form global group header icons inline inner item items left links list main mobile module outer page panel placeholder post posts primary right row secondary section site slot sticky tertiary title top unit widget widgets wrap wrapper zone".split())
+QUALIFIES = frozenset("about cat category col columns disable disabled enabled for format full has have hide in is layout no non not off on show single tag term topic type with without".split())
 PAGE_HEADER = re.compile(r"^(header|siteheader|pageheader|topheader)$")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -47,29 +53,67 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 class Node:
     __slots__ = ("name", "up", "kids", "cut", "points", "at", "chars", "linked")
 
-    def __init__(self, name, up, cut=False, at=0):
+    def __init__(self, name, up, cut=0, at=0):
         self.name, self.up, self.kids, self.cut, self.at, self.points = name, up, [], cut, at, 0.0
         self.chars = self.linked = 0
 
 
-def _unwanted(name: str, attrs: str, inside: bool) -> bool:
+#: Ways to be cut: for certain, or unless most of the page's text is inside.
+SURELY, MAYBE = 2, 1
+
+
+def _named(name: str, inside: bool) -> int:
+    """What one name of a class or id says: it cuts if it is a listed word, beside others that don't change its sense."""
+    parts = [p for p in (p.lower() for p in _PART.findall(name)) if not p.isdigit()]
+    listed = [bool(UNLIKELY.match(p) or not inside and PAGE_HEADER.match(p)) for p in parts]
+    if not any(listed):
+        return 0
+    known = all(x or p in BESIDE for x, p in zip(listed, parts, strict=True))
+    if not known and not (listed[-1] and QUALIFIES.isdisjoint(parts)):
+        return 0
+    return SURELY if any(SURE.match(p) for p in parts) else MAYBE
+
+
+def _unwanted(name: str, attrs: str, inside: bool) -> int:
     """Whether an element can't be article text; `inside`: it is in an article element, where headers belong to the text."""
-    if name in CUT or name == "header" and not inside:
-        return True
+    if name in CUT and name != "form" or name == "header" and not inside:
+        return SURELY
+    least = MAYBE if name == "form" else 0
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return least
     got = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I):
-        return True
+        return SURELY
     if got.get("role", "").lower() in CUT_ROLE:
-        return True
-    parts = [p.lower() for p in _PART.findall(f"{got.get('class', '')} {got.get('id', '')}")]
-    return any(UNLIKELY.match(p) or not inside and PAGE_HEADER.match(p) for p in parts)
+        return SURELY
+    if name == "article":
+        return least
+    return max([least, *(_named(x, inside) for x in f"{got.get('class', '')} {got.get('id', '')}".split())])
+
+
+def spare(root: Node) -> None:
+    """Takes back a cut for want of certainty where the element holds more than half of the page's text out of links and all its article and main elements."""
+    order, stack, own, marks = [], [(root, False)], {}, {}
+    while stack:
+        node, in_link = stack.pop()
+        order.append(node)
+        own[id(node)] = 0 if in_link else sum(len(" ".join(entities.unescape(k).split())) for k in node.kids if isinstance(k, str))
+        marks[id(node)] = 0
+        stack += [(k, in_link or k.name == "a") for k in reversed(node.kids) if not isinstance(k, str) and k.cut != SURELY]
+    for node in reversed(order):
+        if own[id(node)] and node.name in ("article", "main"):
+            marks[id(node)] += 1
+        if node.up is not None:
+            own[id(node.up)] += own[id(node)]
+            marks[id(node.up)] += marks[id(node)]
+    for node in order:
+        if node.cut and 2 * own[id(node)] > own[id(root)] and marks[id(node)] == marks[id(root)]:
+            node.cut = 0
 
 
 def parse(page: str) -> Node:
     root = here = Node("#root", None)
-    at, count = 0, 0
+    at, count, unsure = 0, 0, False
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
@@ -113,7 +157,8 @@ def parse(page: str) -> Node:
         inside, node = False, here
         while node is not None and not inside:
             inside, node = node.name == "article", node.up
-        made = Node(name, here, here.cut or _unwanted(name, m["attrs"], inside), count)
+        made = Node(name, here, _unwanted(name, m["attrs"], inside), count)
+        unsure = unsure or made.cut == MAYBE
         here.kids.append(made)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -121,11 +166,13 @@ def parse(page: str) -> Node:
                 continue
             stop = len(page) if end is None else end.start()
             if name == "noscript":
-                made.cut = True
+                made.cut = SURELY
             made.kids.append(page[at:stop])
             at = len(page) if end is None else (page.find(">", stop) + 1 or len(page))
         elif name not in VOID and not m["attrs"].endswith("/") or name in BLOCK:
             here = made
+    if unsure:
+        spare(root)
     return root
 
 

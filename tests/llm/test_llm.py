@@ -508,6 +508,19 @@ def test_broken_pages(page, text):
     assert html_extract.extract(page) == text
 
 
+@pytest.mark.parametrize("tag", ["div class='content no-sidebar'", "div class=has-sidebar", "article class='post category-social'", "div class=tag-cookies", "div id=ads-free", "form id=form1 action=x", "div class=social", "article class=sidebar"])
+def test_wrappers_are_not_cut_for_their_names(tag):
+    prose = "A sentence, with commas, and enough length to be taken for prose by anyone who reads it."
+    page = f"<body><div class=sidebar><p>Aside.</div><ul class=main-menu><li><a href=a>{prose}</a></ul><{tag}><p>{prose}</p><p>{prose}</p><input><div class=related-posts>x</div></{tag.split()[0]}></body>"
+    assert html_extract.extract(page) == f"{prose}\n{prose}"
+
+
+@pytest.mark.parametrize("tag", ["div class=comments", "div id=cookie-consent", "div class='wp-sidebar-2'", "div class=sidebar-left"])
+def test_names_still_cut_beside_an_article(tag):
+    page = f"<body><main><p>Short text.</p></main><{tag}><p>{'Long, long text. ' * 30}</p></div></body>"
+    assert html_extract.extract(page) == "Short text."
+
+
 # 10 mixing
 
 
