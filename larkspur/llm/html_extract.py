@@ -7,8 +7,9 @@ name). A form, or an element cut by its name, that holds more than half of the p
 article or main element stands outside it or it is named for comments, consent or adverts. Every paragraph then
 passes points for its length and commas to its parent, half of them to the parent above and fewer
 further up, all discounted by the share of its text that is in links. The container with the most points is
-the article (or the article or main element around it); its siblings are kept too if they score a
-fifth of that or are paragraphs of prose.
+the article (or the article or main element around it). Beside an article or main element siblings are kept too if they score a
+fifth of that or are paragraphs of prose; on pages without one all siblings are, of whatever kind and length, and the loose text between them, if
+less than half of their own text is in links.
 
 Inside what is kept nothing is dropped: blocks in page order, character references decoded, white
 space (br too) as one space, trimmed, joined by one newline.
@@ -271,6 +272,8 @@ def extract(page: str | None) -> str:
         best = around if around is not None else max(marked, key=worth)
     if best.up is None:
         return "\n".join(blocks(best))
+    if best.name not in ("article", "main"):
+        return "\n".join(_with_siblings(best))
     least, out = 0.2 * best.points, []
     for kid in best.up.kids:
         if kid is best:
@@ -279,12 +282,52 @@ def extract(page: str | None) -> str:
             density = kid.linked / kid.chars if kid.chars else 0.0
             text = blocks(kid)
             prose = kid.name == "p" and density < 0.25 and sum(map(len, text)) > 80
-            heading = best.name != "article" and kid.name in ("h1", "h2", "h3", "h4", "h5", "h6") and best.up.name not in ("body", "html", "#root")
+            heading = best.name == "main" and kid.name in ("h1", "h2", "h3", "h4", "h5", "h6") and best.up.name not in ("body", "html", "#root")
             if kid.points >= least and density < 0.5 and best.name != "article" or kid.points >= least and kid.name == best.name == "article" or prose or heading:
                 out += text
     return "\n".join(out)
 
 
+def _with_siblings(best: Node) -> list[str]:
+    """Texts of a container and of what stands beside it, loose text too, where less than half is in links."""
+    out: list[str] = []
+    loose = Node("#loose", None)
+
+    def keep(node: Node) -> None:
+        chars, linked = _held(node)
+        if 2 * linked < chars:
+            out.extend(blocks(node))
+
+    for kid in best.up.kids:
+        if not isinstance(kid, Node) or kid.name not in BLOCK and kid is not best:
+            loose.kids.append(kid)
+            continue
+        keep(loose)
+        loose.kids = []
+        if kid is best:
+            out += blocks(kid)
+        elif not kid.cut:
+            keep(kid)
+    keep(loose)
+    return out
+
+
+def _held(node: Node) -> tuple[int, int]:
+    """Code points of the text below a node, without what is cut, and those of them in links."""
+    chars = linked = 0
+    stack = [(node, node.name == "a")]
+    while stack:
+        here, in_link = stack.pop()
+        for kid in here.kids:
+            if isinstance(kid, str):
+                size = len(" ".join(entities.unescape(kid).split()))
+                chars += size
+                linked += size if in_link else 0
+            elif not kid.cut:
+                stack.append((kid, in_link or kid.name == "a"))
+    return chars, linked
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html)."""
 

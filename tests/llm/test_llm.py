@@ -508,6 +508,12 @@ def test_broken_pages(page, text):
     assert html_extract.extract(page) == text
 
 
+def test_siblings_of_the_best_container_stay():
+    long, quote = "A long text, with commas, and more. " * 20, "Quoted, at some length, from elsewhere. " * 5
+    page = f"<div>Loose <b>text</b><h2>T</h2><section>{long}</section><blockquote>{quote}</blockquote><pre>a\n b</pre><section><p>third</section><ul><li><a href=x>link</a></ul><p><a href=y>more</a></p><p>Short end.</p></div>"
+    assert html_extract.extract(page).split("\n") == ["Loose text", "T", long.strip(), quote.strip(), "a b", "third", "Short end."]
+
+
 @pytest.mark.parametrize("tag", ["div class='content no-sidebar'", "div class=has-sidebar", "article class='post category-social'", "div class=tag-cookies", "div id=ads-free", "form id=form1 action=x", "div class=social", "article class=sidebar"])
 def test_wrappers_are_not_cut_for_their_names(tag):
     prose = "A sentence, with commas, and enough length to be taken for prose by anyone who reads it."
