@@ -102,7 +102,7 @@ def _mixed(rows: DataFrame, cell_rows: int, rule: dict) -> DataFrame:
     placed = placed.join(goal, F.col("source").eqNullSafe(F.col("s")))
     place = F.col("base") + F.col("at")
     copies = (F.floor(F.col("rate") * place + 0.5) - F.floor(F.col("rate") * (place - 1) + 0.5)).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "rate", place.alias("place"), copies.alias("copies"))
 
 
 def _closed(rows: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _closed(rows: DataFrame) -> DataFrame:
     off = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.max("target").alias("goal"))
     off = off.select(F.col("source").alias("s"), (F.col("goal") - F.col("got")).alias("off"))
     # at most 4 candidates of a size class and direction, whatever the number of documents: max_by, not a list of all
-    pick = F.struct("size", _hash("doc_id").alias("h"), "doc_id")
+    pick = F.struct("size", _hash("doc_id").alias("h"), "doc_id", "place")
     sized = rows.filter("size > 0 and rate > 0").withColumn("class", F.floor(F.log2("size")).cast("int")).withColumn("slot", F.pmod(_hash("doc_id"), F.lit(4)))
     best = sized.groupBy("source", "class", "slot").agg(F.max(F.when(F.col("copies") < most, pick)).alias("more"), F.max(F.when(F.col("copies") > 0, pick)).alias("less"))
     lists = best.groupBy("source").agg(*[F.reverse(F.array_sort(F.collect_list(c))).alias(c) for c in ("more", "less")])
@@ -125,9 +125,9 @@ def _closed(rows: DataFrame) -> DataFrame:
 
     start = F.struct(F.abs("off").cast("double").alias("left"), none.alias("took"))
     took = F.aggregate(F.when(F.col("off") > 0, F.col("more")).otherwise(F.col("less")), start, take)["took"]
-    # of repeated rows of one id only one changes: which one is told by its place
-    flips = lists.select(F.col("s"), way.alias("way"), F.explode(took).alias("x")).select(F.col("s"), "way", F.col("x.doc_id").alias("f_id"), F.col("x.size").alias("f_size"))
-    key = F.col("doc_id").eqNullSafe(F.col("f_id")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("f_size"))
+    # of repeated rows of one id only one changes, told by its place, which is its own within the source
+    flips = lists.select(F.col("s"), way.alias("way"), F.explode(took).alias("x")).select(F.col("s"), "way", F.col("x.place").alias("f_place"))
+    key = F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("f_place"))
     copies = F.greatest(F.lit(0).cast("long"), F.least(most.cast("long"), F.col("copies") + F.coalesce("way", F.lit(0).cast("long"))))
     out = rows.join(flips, key, "left").withColumn("copies", copies)
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -566,6 +566,16 @@ def test_mixture_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_one_of_repeated_rows_changes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(5 if k % 2 else None, "w", s) for k in range(301) for s in "abcdef"] + [(1000 + i, "w " * int(rng.integers(2, 60)), s) for i in range(400) for s in "abcdef"]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), cell_rows=20).collect()
+    assert len(got) == len(rows)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcdef"}
+    for s, t in plain_targets(sizes).items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= max(3, 0.001 * t), s
+
+
 # pipeline
 
 
