@@ -102,8 +102,13 @@ def loss_text(segments: Column) -> Column:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as a log: every row a whole message at its turn."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message_id"), "role", "text")
+    """Rows by turn as a log: every row a whole message at its turn, with an id of its own (the turn and the row's place in it), so repeated rows stay apart."""
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    rows = conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), role, text)
+    place = F.row_number().over(Window.partitionBy("conv_id", "seq").orderBy("role", "text"))
+    # of fixed width, so that ids of one turn sort as numbers
+    name = F.concat_ws("/", F.col("seq").cast("string"), F.lpad(place.cast("string"), 10, "0"))
+    return rows.select("conv_id", "seq", "kind", name.alias("message_id"), "role", "text")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

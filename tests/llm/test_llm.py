@@ -298,6 +298,16 @@ def test_chat_digests(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss))
 
 
+def test_rows_by_turn_go_through_the_fold(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, None, "z"), (None, None, "user", "n"), (None, None, "user", "n")] + [(2, 0, "user", f"t{i:02}") for i in range(12)]
+    events = chat_format.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    ids = [(r.conv_id, r.message_id) for r in events.collect()]
+    assert all(i for _, i in ids) and len(set(ids)) == len(rows)
+    out = chat_format.render(chat_format.fold(events)).select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns")).collect()
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out}
+    assert got == {1: [("", "z"), ("user", "b"), ("user", "b")], None: [("user", "n")] * 2, 2: [("user", f"t{i:02}") for i in range(12)]}
+
+
 # 6 SpotSigs
 
 
