@@ -152,6 +152,37 @@ def test_wand_finds_what_brute_force_finds(spark):
     assert old is not None
 
 
+def test_parts_of_the_index_find_the_same(spark):
+    rng = np.random.default_rng(21)
+    # a question and its answer far apart, so that a passage sized by short items alone would not hold both
+    items = [(i, long_text(5000 + i, int(rng.integers(10, 20))) + ". " + long_text(5100 + i, 5) + ".") for i in range(24)] + [(99, long_text(5999, 400) + ". " + long_text(5998, 6) + ".")]
+    texts = []
+    for i in range(0, 24, 2):
+        question, answer = items[i][1].split(". ")
+        texts.append(f"{long_text(6000 + i, 50)} {question} {long_text(6100 + i, int(rng.integers(20, 300)))} {answer} {long_text(6200 + i, 500)}")
+    docs = documents(spark, [*texts, items[-1][1], None, ""])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **o: sorted(map(tuple, decontaminate.contaminated(docs, bench, **o).collect()))
+    whole = rows()
+    assert len(whole) >= 10 and (12, 99) in {r[:2] for r in whole}
+    for block_bytes in (100, 1000, 32 << 20):
+        assert rows(block_bytes=block_bytes) == whole, block_bytes
+    clean = sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench, block_bytes=300).collect())
+    assert clean == sorted(set(range(len(texts) + 3)) - {r[0] for r in whole})
+    named = spark.createDataFrame([(f"q{i}", t) for i, t in items], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, named, block_bytes=500).collect()} == {(d, f"q{i}") for d, i, *_ in whole}
+
+
+def test_long_texts_and_clashing_columns(spark):
+    item = long_text(5000, 15) + ". " + long_text(5100, 5) + "."
+    text = f"{long_text(1, 60_000)} {item} {long_text(2, 60_000)}"
+    docs = documents(spark, [text, long_text(3, 120_000)]).withColumn("item_id", F.lit("clash")).withColumn("score", F.lit(None).cast("string"))
+    bench = spark.createDataFrame([(7, item, "clash")], "item_id long, text string, doc_id string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(0, 7)]
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 @needs_data
 def test_planted_passages_are_found_and_clean_documents_kept(spark):
     sf = "/root/testdata/sf0.01"
