@@ -617,6 +617,57 @@ def test_one_of_repeated_rows_changes(spark):
         assert abs(sum(r.taken for r in got if r.source == s) - t) <= max(3, 0.001 * t), s
 
 
+def test_many_rows_without_an_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None, "w", "a")] * 2000 + [(i, "w " * int(rng.integers(1, 90)), "a" if i % 3 else "b") for i in range(300)] + [(7, "q r s", "b")] * 1500
+    rows += [(i, "w " * int(rng.integers(1, 40)), "c") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), cell_rows=20).collect()
+    assert len(got) == len(rows) and sorted((r.doc_id or 0, r.size) for r in got) == sorted((i or 0, len(t.split())) for i, t, _ in rows)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    for s, t in plain_targets(sizes).items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= 0.001 * t, s
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(16)
+    sizes = {f"h{rng.integers(10**9)}é"[: int(rng.integers(3, 10))]: int(10 ** rng.uniform(0, 7)) for _ in range(400)} | {None: 55, "zero": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df, range_rows=30).collect()}
+    want = plain_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
+
+
+def test_crossing_constraints_equal_the_plain_dual(spark):
+    rng = np.random.default_rng(17)
+    rows = [("abc"[int(rng.integers(3))], [None, "x", "y", "z"][int(rng.integers(4))], int(rng.integers(0, 200))) for _ in range(900)]
+    words = lambda i: {v: float(sum(s for *k, s in rows if k[i] == v)) for v in {r[i] for r in rows}}
+    # one set of rates meets both columns' targets: take a tilted mix's own sums, and let z go free
+    tilt = [{"a": 0.3, "b": -2.0, "c": 0.9}, {None: 0.2, "x": -0.7, "y": 0.4, "z": 0.0}]
+    kept = [float(sum(s * np.exp(tilt[0][a] + tilt[1][b]) for a, b, s in rows if (a, b)[i] == v)) for i in (0, 1) for v in sorted(words(i), key=lambda v: (v is None, v or ""))]
+    values = [sorted(words(i), key=lambda v: (v is None, v or "")) for i in (0, 1)]
+    goal = [dict(zip(values[0], kept[:3], strict=True)), {v: k for v, k in zip(values[1], kept[3:], strict=True) if v != "z"}]
+    docs = spark.createDataFrame(rows, "source string, lang string, size long")
+    frames = {c: spark.createDataFrame(list(g.items()), "value string, target double") for c, g in zip(("source", "lang"), goal, strict=True)}
+    got = {c: {r["value"]: r["lambda"] for r in t.collect()} for c, t in mixing.balance(docs, frames).items()}
+    # the plain dual: cyclic scaling of rates, document by document
+    rate = np.ones(len(rows))
+    size = np.array([s for *_, s in rows], float)
+    for _ in range(3000):
+        for i in (0, 1):
+            for v, t in goal[i].items():
+                mine = np.array([r[i] == v for r in rows])
+                rate[mine] *= t / (size * rate)[mine].sum()
+    mine = np.exp([got["source"][a] + got["lang"].get(b, 0.0) for a, b, _ in rows])
+    assert np.allclose(mine, rate, rtol=1e-6)
+    with pytest.raises(ValueError):
+        mixing.balance(docs, frames, most_constraints=5)
+    one = {c: {r["value"]: r["lambda"] for r in mixing.balance(docs, {"source": frames["source"]}, most_constraints=m)["source"].collect()} for c, m in (("solved", 10), ("in rows", 2))}
+    assert all(one["solved"][v] == pytest.approx(one["in rows"][v], abs=1e-8) == pytest.approx(np.log(t / words(0)[v]), abs=1e-8) for v, t in goal[0].items())
+    both = {"source": spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "value string, target double"), "lang": spark.createDataFrame([(v, 9.0) for v in values[1]], "value string, target double")}
+    with pytest.raises(ValueError):
+        mixing.balance(docs, both)
+
+
 # pipeline
 
 
