@@ -6,13 +6,14 @@ adverts and reader comments, by element, role or whole names of class and id (ar
 name). A form, or an element cut by its name, that holds more than half of the page's text out of links stays, unless an
 article or main element stands outside it or it is named for comments, consent or adverts. Every paragraph then
 passes points for its length and commas to its parent, half of them to the parent above and fewer
-further up, all discounted by the share of its text that is in links. The container with the most points is
-the article (or the article or main element around it). Beside an article or main element siblings are kept too if they score a
-fifth of that or are paragraphs of prose; on pages without one all siblings are, of whatever kind and length, and the loose text between them, if
+further up; article and main elements get the points of all paragraphs below in full and more for their name, other containers more or less for what class and id say.
+All is discounted by the share of the container's text that is in links, and the container with the most points is
+the article; no element is taken without being scored. Beside an article or main element siblings are kept too if they score a
+fifth of that or are paragraphs of prose; beside others all siblings are, of whatever kind and length, and the loose text between them, if
 less than half of their own text is in links.
 
 Inside what is kept nothing is dropped: blocks in page order, character references decoded, white
-space (br too) as one space, trimmed, joined by one newline.
+space (br too) as one space, trimmed, joined by one newline. The time for a page is in proportion to its length, however deep it is.
 
 Defined results: null or empty html, or a page without article text: the empty string with 0 code
 points. Broken or cut-off markup is closed at the end of the page. A page without any markup is its
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,13 @@ SURE = re.compile(r"^(ads?|adv|advert.*|adbox|adslot|adsense|sponsor.*|cookies?.
 BESIDE = frozenset("area bar block blog body bottom box button buttons center column container entry feed fixed float floating form global group header icons inline inner item items left links list main mobile module outer page panel placeholder post posts primary right row secondary section site slot sticky tertiary title top unit widget widgets wrap wrapper zone".split())
 QUALIFIES = frozenset("about cat category col columns disable disabled enabled for format full has have hide in is layout no non not off on show single tag term topic type with without".split())
 PAGE_HEADER = re.compile(r"^(header|siteheader|pageheader|topheader)$")
+#: Names that speak for a container of article text.
+LIKELY = re.compile(r"^(articles?|blog|body|content|entry|main|page|posts?|prose|story|text)$")
+#: How names weigh in a container's points: article elements and main elements, and class or id for and against.
+WEIGHT = {"article": 1.8, "main": 1.3}
+FOR, AGAINST = 1.2, 0.8
+#: Tables' and lists' cells and the like, which pass their points on at once.
+HELD = frozenset("p pre li td th blockquote h1 h2 h3 h4 h5 h6 dd dt".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -52,10 +61,12 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "up", "kids", "cut", "points", "at", "chars", "linked")
+    __slots__ = ("name", "up", "kids", "cut", "said", "points", "rising", "total", "at", "chars", "linked")
 
-    def __init__(self, name, up, cut=0, at=0):
-        self.name, self.up, self.kids, self.cut, self.at, self.points = name, up, [], cut, at, 0.0
+    def __init__(self, name, up, cut=0, at=0, said=1.0):
+        self.name, self.up, self.kids, self.cut, self.at, self.said = name, up, [], cut, at, said
+        # of the paragraphs held here, of those further down as they arrive, and of all of them in full
+        self.points = self.rising = self.total = 0.0
         self.chars = self.linked = 0
 
 
@@ -66,7 +77,8 @@ SURELY, MAYBE = 2, 1
 def _named(name: str, inside: bool) -> int:
     """What one name of a class or id says: it cuts if it is a listed word, beside others that don't change its sense."""
     parts = [p for p in (p.lower() for p in _PART.findall(name)) if not p.isdigit()]
-    listed = [bool(UNLIKELY.match(p) or not inside and PAGE_HEADER.match(p)) for p in parts]
+    # in an article an alert is a box of its text
+    listed = [bool(UNLIKELY.match(p) and not (inside and p in ("alert", "alerts")) or not inside and PAGE_HEADER.match(p)) for p in parts]
     if not any(listed):
         return 0
     known = all(x or p in BESIDE for x, p in zip(listed, parts, strict=True))
@@ -75,21 +87,24 @@ def _named(name: str, inside: bool) -> int:
     return SURELY if any(SURE.match(p) for p in parts) else MAYBE
 
 
-def _unwanted(name: str, attrs: str, inside: bool) -> int:
-    """Whether an element can't be article text; `inside`: it is in an article element, where headers belong to the text."""
+def _unwanted(name: str, attrs: str, inside: bool) -> tuple[int, float]:
+    """Whether an element can't be article text, and how its names weigh; `inside`: it is in an article element, where headers belong to the text."""
     if name in CUT and name != "form" or name == "header" and not inside:
-        return SURELY
+        return SURELY, 1.0
     least = MAYBE if name == "form" else 0
     if not attrs or name in ("html", "body", "main"):
-        return least
+        return least, 1.0
     got = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I):
-        return SURELY
+        return SURELY, 1.0
     if got.get("role", "").lower() in CUT_ROLE:
-        return SURELY
-    if name == "article":
-        return least
-    return max([least, *(_named(x, inside) for x in f"{got.get('class', '')} {got.get('id', '')}".split())])
+        return SURELY, 1.0
+    names = f"{got.get('class', '')} {got.get('id', '')}".split()
+    if name == "article" or not names:
+        return least, 1.0
+    cut = max([least, *(_named(x, inside) for x in names)])
+    parts = [p.lower() for x in names for p in _PART.findall(x)]
+    return cut, AGAINST if cut else FOR if any(LIKELY.match(p) for p in parts) else 1.0
 
 
 def spare(root: Node) -> None:
@@ -112,10 +127,42 @@ def spare(root: Node) -> None:
             node.cut = 0
 
 
+class Path:
+    """The open elements from the root down, and where those of each name stand among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.of, self.blocks = [root], {}, []
+
+    def open(self, node: Node) -> None:
+        self.of.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Ends the element at this depth and all in it."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.of[node.name].pop()
+            if node.name in BLOCK:
+                self.blocks.pop()
+
+    def last(self, name: str) -> int:
+        return self.of[name][-1] if self.of.get(name) else -1
+
+    def ended_by(self, name: str) -> int | None:
+        """The depth of the outermost element that a new `name` ends, not beyond a fence."""
+        fence = max(map(self.last, FENCE[name]))
+        found = [at[k] for x in ENDS[name] if (at := self.of.get(x)) and (k := bisect_right(at, fence)) < len(at)]
+        return min(found, default=None)
+
+
 def parse(page: str) -> Node:
-    root = here = Node("#root", None)
+    root = Node("#root", None)
+    path = Path(root)
     at, count, unsure = 0, 0, False
     while at < len(page):
+        here = path.nodes[-1]
         m = _TAG.search(page, at)
         if m is None:
             here.kids.append(page[at:])
@@ -129,36 +176,25 @@ def parse(page: str) -> Node:
             continue
         name, count = name.lower(), count + 1
         if m["end"]:
-            node = here
-            while node is not None and node.name != name:
-                # the end of an inline element doesn't reach out of its block
-                node = None if node.name in BLOCK and name not in BLOCK else node.up
-            if node is not None and node.up is not None:
-                here = node.up
+            depth = path.last(name)
+            # the end of an inline element doesn't reach out of its block
+            if depth > 0 and (name in BLOCK or not path.blocks or path.blocks[-1] < depth):
+                path.close(depth)
             elif name == "p":
                 here.kids.append(Node("p", here, at=count))
             elif name == "br":
                 here.kids.append(" ")
             continue
-        if name in CLOSES_P:
-            node = here
-            while node is not None and node.name not in BLOCK:
-                node = node.up
-            if node is not None and node.name == "p":
-                here = node.up
-        if name in ENDS:
-            node, stop = here, FENCE[name]
-            while node is not None and node.name not in stop:
-                if node.name in ENDS[name]:
-                    here = node.up
-                node = node.up
+        if name in CLOSES_P and path.blocks and path.nodes[path.blocks[-1]].name == "p":
+            path.close(path.blocks[-1])
+        if name in ENDS and (depth := path.ended_by(name)) is not None:
+            path.close(depth)
+        here = path.nodes[-1]
         if name == "br" or name == "wbr":
             here.kids.append(" " if name == "br" else "")
             continue
-        inside, node = False, here
-        while node is not None and not inside:
-            inside, node = node.name == "article", node.up
-        made = Node(name, here, _unwanted(name, m["attrs"], inside), count)
+        cut, said = _unwanted(name, m["attrs"], path.last("article") > 0)
+        made = Node(name, here, cut, count, said)
         unsure = unsure or made.cut == MAYBE
         here.kids.append(made)
         if name in RAW:
@@ -171,7 +207,7 @@ def parse(page: str) -> Node:
             made.kids.append(page[at:stop])
             at = len(page) if end is None else (page.find(">", stop) + 1 or len(page))
         elif name not in VOID and not m["attrs"].endswith("/") or name in BLOCK:
-            here = made
+            path.open(made)
     if unsure:
         spare(root)
     return root
@@ -179,52 +215,57 @@ def parse(page: str) -> Node:
 
 def score(root: Node) -> list[Node]:
     """Points for every container of a paragraph, a paragraph being a run of inline text in a block. Returns the containers in page order."""
-    found: dict[int, Node] = {}
+    order: list[Node] = []
 
     def run(block: Node, texts: list[str], linked: int) -> None:
         text = " ".join("".join(texts).split())
         if not text:
             return
         size = len(text)
-        points = (1 + text.count(",") + text.count("，") + text.count("、") + min(size / 100, 3.0)) * (1 - min(1.0, linked / size))
-        holder = block if block.name not in ("p", "pre", "li", "td", "th", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else block.up or block
-        up, share = holder, 1.0
-        while up is not None:
-            found[id(up)] = up
-            up.points += points * share
-            up.chars += size
-            up.linked += min(size, linked)
-            share = share / 2 if share == 1.0 else share / 1.5
-            up = up.up
-
-    def walk(block: Node) -> None:
-        texts, linked = [], 0
-        # an explicit stack, since pages may nest deeper than Python's calls
-        stack = [(iter(block.kids), block, False)]
-        while stack:
-            kids, node, in_link = stack[-1]
-            kid = next(kids, None)
-            if kid is None:
-                stack.pop()
-                if node.name in BLOCK or node is block:
-                    run(node, texts, linked)
-                    texts, linked = [], 0
-                continue
-            if isinstance(kid, str):
-                text = entities.unescape(kid)
-                texts.append(text)
-                linked += len(" ".join(text.split())) if in_link else 0
-            elif not kid.cut:
-                if kid.name in BLOCK:
-                    owner = node
-                    while owner.name not in BLOCK and owner.up is not None:
-                        owner = owner.up
-                    run(owner, texts, linked)
-                    texts, linked = [], 0
-                stack.append((iter(kid.kids), kid, in_link or kid.name == "a"))
+        holder = (block.up or block) if block.name in HELD else block
+        holder.points += (1 + text.count(",") + text.count("，") + text.count("、") + min(size / 100, 3.0)) * (1 - min(1.0, linked / size))
+        holder.chars += size
+        holder.linked += min(size, linked)
+
+    texts: list[str] = []
+    linked = 0
+    # an explicit stack, since pages may nest deeper than Python's calls: what is left of an element, the element, whether in a link, its block
+    stack = [(iter(root.kids), root, False, root)]
+    order.append(root)
+    while stack:
+        kids, node, in_link, block = stack[-1]
+        kid = next(kids, None)
+        if kid is None:
+            stack.pop()
+            if node is block:
+                run(block, texts, linked)
+                texts, linked = [], 0
+        elif isinstance(kid, str):
+            text = entities.unescape(kid)
+            texts.append(text)
+            linked += len(" ".join(text.split())) if in_link else 0
+        elif not kid.cut:
+            if kid.name in BLOCK:
+                run(block, texts, linked)
+                texts, linked = [], 0
+            order.append(kid)
+            stack.append((iter(kid.kids), kid, in_link or kid.name == "a", kid if kid.name in BLOCK else block))
+    # from the leaves up: what is held here counts half for the parent, what came from below two thirds of what it counts here
+    for node in reversed(order):
+        node.total += node.points
+        if (up := node.up) is not None:
+            up.rising += node.points / 2 + node.rising / 1.5
+            up.total += node.total
+            up.chars += node.chars
+            up.linked += node.linked
+    for node in order:
+        node.points += node.rising
+    return [n for n in order if n.chars]
+
 
-    walk(root)
-    return sorted(found.values(), key=lambda n: n.at)
+def worth(node: Node) -> float:
+    points = node.total * WEIGHT[node.name] if node.name in WEIGHT else node.points * node.said
+    return points * (1 - node.linked / max(1, node.chars))
 
 
 def blocks(node: Node) -> list[str]:
@@ -261,20 +302,12 @@ def extract(page: str | None) -> str:
     scored = score(root)
     if not scored:
         return ""
-    worth = lambda n: n.points * (1 - n.linked / max(1, n.chars))
     best = max(scored, key=worth)
-    # what the page itself marks as its article goes before a container around it, unless it is a trifle
-    marked = [n for n in scored if n.name in ("article", "main") and 10 * n.chars >= root.chars]
-    around = best
-    while around is not None and around.name not in ("article", "main"):
-        around = around.up
-    if around is not None or marked:
-        best = around if around is not None else max(marked, key=worth)
     if best.up is None:
         return "\n".join(blocks(best))
     if best.name not in ("article", "main"):
         return "\n".join(_with_siblings(best))
-    least, out = 0.2 * best.points, []
+    least, out = 0.2 * best.total, []
     for kid in best.up.kids:
         if kid is best:
             out += blocks(kid)
@@ -283,7 +316,7 @@ def extract(page: str | None) -> str:
             text = blocks(kid)
             prose = kid.name == "p" and density < 0.25 and sum(map(len, text)) > 80
             heading = best.name == "main" and kid.name in ("h1", "h2", "h3", "h4", "h5", "h6") and best.up.name not in ("body", "html", "#root")
-            if kid.points >= least and density < 0.5 and best.name != "article" or kid.points >= least and kid.name == best.name == "article" or prose or heading:
+            if kid.total >= least and density < 0.5 and best.name != "article" or kid.total >= least and kid.name == best.name == "article" or prose or heading:
                 out += text
     return "\n".join(out)
 

@@ -7,6 +7,7 @@ import html as entities
 import itertools
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -568,6 +569,48 @@ def test_names_still_cut_beside_an_article(tag):
     assert html_extract.extract(page) == "Short text."
 
 
+PROSE = "A sentence, with commas, and enough length to be taken for prose by anyone who reads it."
+
+
+@needs_data
+@pytest.mark.parametrize("tag", ["div", "section", "div class='content has-sidebar'"])
+def test_scores_find_articles_without_an_article_element(spark, tag):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+        assert "<article" not in plain and html_extract.extract(plain) == html_extract.extract(r.html)
+
+
+@pytest.mark.parametrize("wrap", ["<article class='post has-comments'>{}</article>", "<div class='content has-sidebar'><article>{}</article></div>", "<div class='layout sidebar-right'><main>{}</main></div>", "<form action=x><input><article>{}</article></form>"])
+def test_layout_names_do_not_empty_the_page(wrap):
+    assert html_extract.extract(wrap.format(f"<p>{PROSE}</p>")) == PROSE
+
+
+def test_names_inside_an_article_do_not_cut():
+    page = f"<article><p>{PROSE}</p><section id=related-work><p>RW</p></section><p class=reply-text>RT</p><table class=share-price><tr><td>SP</table><div class=alert>AL</div></article>"
+    assert html_extract.extract(page) == f"{PROSE}\nRW\nRT\nSP\nAL"
+
+
+def test_a_small_article_does_not_hide_the_text():
+    page = f"<body><article><p>Teaser.</p></article><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert html_extract.extract(page).split("\n")[-3:] == [PROSE] * 3
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b><p>y" * 50_000, "<ul><li>z" * 50_000, "<b><div></div>" * 50_000 + "q", "<thead>" * 50_000 + "<li>a" * 50_000, "<i>" * 50_000 + "</b>" * 50_000 + "t"])
+def test_time_does_not_grow_with_the_square_of_the_depth(page):
+    began = time.thread_time()
+    assert html_extract.extract(page)
+    assert time.thread_time() - began < 15  # a page of this size takes a second or two; with the square of its depth, minutes
+
+
+def test_pages_table_edges(spark):
+    rows = [(1, None, f"<p>{PROSE}"), (1, None, f"<p>{PROSE}"), (None, "u", None), (2, "u", ""), (3, "u", f"<p>{PROSE}</p>" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    got = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_extract.main_text(pages).collect()), key=str)
+    long = "\n".join([PROSE] * 3000)
+    assert got == sorted([(1, None, PROSE, len(PROSE))] * 2 + [(0, "u", "", 0), (2, "u", "", 0), (3, "u", long, len(long))], key=str)
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
 # 10 mixing
 
 
