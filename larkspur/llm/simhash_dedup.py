@@ -3,15 +3,19 @@
 Fingerprints: ASCII letters lowered, words between ASCII white space, shingles of 4 words (repeats
 counted), XXH64 with seed 42 of each; a bit is set if set in over half of the hashes.
 
-Links: equal fingerprints are folded first. The rest is an exact join at `radius` bits. The top of
-the hierarchy deals fingerprints out by the bits of some of `b` blocks: two fingerprints at most
-`radius` bits apart agree on at least `b - radius` blocks, so each choice of that many blocks is one
-table of buckets, and `b` grows with the number of fingerprints so that buckets stay small. Inside
-a bucket fingerprints are sorted by Gray rank and put under a binary tree whose nodes keep the bit
-pattern (mask and value) that all fingerprints below them share. A pair of nodes is dropped as a
-whole when the patterns' differences already exceed the radius, or when all below it is one
-component already. A bucket above `bucket_rows` is cut into runs of Gray rank, and pairs of runs
-become tasks of their own, so no task's rows grow with the largest bucket. Buckets return a spanning forest, not
+Links: equal fingerprints are folded first. The rest is an exact join at `radius` bits over a hierarchy of shared bit patterns.
+At its top are patterns of whole blocks of bits: two fingerprints at most
+`radius` bits apart agree on at least `b - radius` of `b` blocks, so each choice of that many blocks is one
+table of buckets, and `b` grows with the number of fingerprints so that a bucket holds about `per_bucket`. Inside
+a bucket fingerprints are sorted by Gray rank, which puts those of equal leading bits together, and put under a tree (`GrayTree`): leaves of `LEAF`
+fingerprints, `FAN` nodes under each upper node, every node keeping the pattern (mask and value) that all fingerprints below it
+share. Pairs of nodes go down level by level, differences of their patterns adding up; a pair is dropped with all below it once
+they exceed the radius, and leaves that are one component already are not compared.
+
+Hot buckets, above `bucket_rows`: their fingerprints are dealt out anew by the next larger `b`, so their rows are copied as often as that
+has tables (15, 35 or 70 times for a radius of 4) however large the bucket is. What is still hot when half of all bits agree is ranged by Gray rank over tasks and cut into
+runs; the runs' patterns are a table of their own, its pairs are pruned by their differences, and each pair that is left
+becomes a task's group of two runs. Buckets return a spanning forest, not
 all pairs, which loses no connection.
 
 Components of the forests' union are found by `components`; the id is the least doc_id.
@@ -29,7 +33,8 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import table, written
@@ -90,15 +95,11 @@ class Forest:
             i = up[i]
         return int(i)
 
-    def roots(self, lo: int, hi: int) -> np.ndarray:
-        """Roots of a run, by halving all paths at once."""
-        r = self.up[lo:hi]
-        while True:
-            nxt = self.up[r]
-            if np.array_equal(nxt, r):
-                self.up[lo:hi] = r
-                return r
-            r = nxt
+    def roots(self) -> np.ndarray:
+        """The root of every position, by halving all paths at once."""
+        while not np.array_equal(nxt := self.up[self.up], self.up):
+            self.up = nxt
+        return self.up
 
     def join(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
@@ -107,95 +108,136 @@ class Forest:
             self.edges.append((i, j))
 
 
-LEAF = 64
+LEAF, FAN = 16, 4
 
 
 class GrayTree:
-    """Nodes over runs of Gray-sorted fingerprints, each with the mask of bits on which all below agree."""
+    """Levels of nodes over runs of fingerprints in Gray order, leaves first: masks of the bits on which all below agree, and those bits."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps
-        n = max(1, -(-len(fps) // LEAF))
-        self.levels = [[self._leaf(i * LEAF, min(len(fps), (i + 1) * LEAF)) for i in range(n)]]
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            self.levels.append([self._over(below[i : i + 2]) for i in range(0, len(below), 2)])
-        self.top = self.levels[-1][0]
-
-    def _leaf(self, lo, hi):
-        run = self.fps[lo:hi]
-        both, any_ = int(np.bitwise_and.reduce(run)), int(np.bitwise_or.reduce(run))
-        return lo, hi, ~(both ^ any_) & (2**64 - 1), both, ()
-
-    @staticmethod
-    def _over(kids):
-        if len(kids) == 1:
-            return kids[0]
-        a, b = kids
-        mask = a[2] & b[2] & ~(a[3] ^ b[3])
-        return a[0], b[1], mask, a[3] & mask, (a, b)
-
-
-def link(fps: np.ndarray, radius: int, cut: int | None = None) -> list[tuple[int, int]]:
+        self.fps, at = fps, np.arange(0, len(fps), LEAF)
+        both, some = np.bitwise_and.reduceat(fps, at), np.bitwise_or.reduceat(fps, at)
+        self.levels = [(~(both ^ some), both)]
+        while len(both) > FAN:
+            at = np.arange(0, len(both), FAN)
+            both, some = np.bitwise_and.reduceat(both, at), np.bitwise_or.reduceat(some, at)
+            self.levels.append((~(both ^ some), both))
+
+    def patterns(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask, value = self.levels[min(level, len(self.levels) - 1)]
+        return mask[nodes], value[nodes]
+
+    def below(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """FAN children of each node, and which of them there are; above the top each node is its own only child."""
+        if level >= len(self.levels):
+            return np.repeat(nodes, FAN), np.tile(np.arange(FAN) == 0, len(nodes))
+        kids = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+        return kids, kids < len(self.levels[level - 1][0])
+
+
+def leaf_pairs(a: GrayTree, b: GrayTree, radius: int, pruned: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves that may hold pairs at most `radius` bits apart (for a tree and itself each pair once), nearest patterns first.
+
+    pruned: gets the number of pairs of nodes dropped at each level above the leaves."""
+    level = max(len(a.levels), len(b.levels)) - 1
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[-1][0])), np.arange(len(b.levels[-1][0])), indexing="ij"))
+    seen, differ = np.zeros(len(i), np.uint64), np.zeros(len(i), np.int64)
+    while True:
+        if a is b:
+            i, j, seen, differ = (x[i <= j] for x in (i, j, seen, differ))
+        (ma, va), (mb, vb) = a.patterns(level, i), b.patterns(level, j)
+        both = ma & mb
+        # differences above are counted already: only the bits that are new at this level add to them
+        differ = differ + np.bitwise_count((va ^ vb) & both & ~seen)
+        near = differ <= radius
+        if pruned is not None and level:
+            pruned.append(int((~near).sum()))
+        i, j, seen, differ = i[near], j[near], both[near], differ[near]
+        if not level:
+            order = np.argsort(differ, kind="stable")
+            return i[order], j[order]
+        (ka, ina), (kb, inb) = a.below(level, i), b.below(level, j)
+        n = len(i)
+        there = (ina.reshape(n, FAN, 1) & inb.reshape(n, 1, FAN)).ravel()
+        i = np.broadcast_to(ka.reshape(n, FAN, 1), (n, FAN, FAN)).ravel()[there]
+        j = np.broadcast_to(kb.reshape(n, 1, FAN), (n, FAN, FAN)).ravel()[there]
+        seen, differ = np.repeat(seen, FAN * FAN)[there], np.repeat(differ, FAN * FAN)[there]
+        level -= 1
+
+
+def link(fps: np.ndarray, radius: int, cut: int | None = None, pruned: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest, as pairs of positions, of the graph of fingerprints (distinct, in Gray order) at most `radius` bits apart.
     With `cut`, only pairs across that position are compared; each side is then linked by a task of its own."""
-    if len(fps) < 2:
+    n = len(fps)
+    if n < 2 or cut in (0, n):
         return []
-    forest = Forest(len(fps))
-    if cut is None:
-        top = GrayTree(fps).top
-        stack = [(top, top)]
-    else:
-        a, b = GrayTree(fps[:cut]).top, GrayTree(fps[cut:]).top
-        stack = [(a, _moved(b, cut))]
-    while stack:
-        a, b = stack.pop()
-        if ((a[3] ^ b[3]) & a[2] & b[2]).bit_count() > radius:
-            continue
-        ra, rb = forest.roots(a[0], a[1]), forest.roots(b[0], b[1])
-        if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == ra[0]).all():
-            continue
-        if a[4] or b[4]:
-            if a is b:
-                stack += [(a[4][0], a[4][1]), (a[4][1], a[4][1]), (a[4][0], a[4][0])]
-            elif not b[4] or a[4] and a[1] - a[0] >= b[1] - b[0]:
-                stack += [(k, b) for k in a[4]]
-            else:
-                stack += [(a, k) for k in b[4]]
-            continue
-        near = np.bitwise_count(fps[a[0] : a[1], None] ^ fps[None, b[0] : b[1]]) <= radius
-        for i, j in zip(*np.nonzero(np.triu(near, 1) if a is b else near), strict=True):
-            forest.join(a[0] + int(i), b[0] + int(j))
+    forest = Forest(n)
+    a = GrayTree(fps[:cut])
+    b = a if cut is None else GrayTree(fps[cut:])
+    left, right = leaf_pairs(a, b, radius, pruned)
+    split = n if cut is None else cut
+    place = lambda leaves, first, end: np.minimum(first + leaves[:, None] * LEAF + np.arange(LEAF), end - 1)
+    # the last place of a leaf that isn't full stands for those it lacks: it is compared again, to no effect
+    starts = lambda tree: np.arange(0, len(tree.fps), LEAF)
+    for lo in range(0, len(left), 256):
+        li, ri = left[lo : lo + 256], right[lo : lo + 256]
+        roots = forest.roots()
+        if lo:
+            low, high = (f.reduceat(roots[:split], starts(a)) for f in (np.minimum, np.maximum))
+            low_b, high_b = (low, high) if a is b else (f.reduceat(roots[split:], starts(b)) for f in (np.minimum, np.maximum))
+            apart = (low[li] != high[li]) | (low_b[ri] != high_b[ri]) | (low[li] != low_b[ri])
+            li, ri = li[apart], ri[apart]
+        x, y = place(li, 0, split), place(ri, 0 if a is b else split, n)
+        at, p, q = np.nonzero(np.bitwise_count(fps[x][:, :, None] ^ fps[y][:, None, :]) <= radius)
+        x, y = x[at, p], y[at, q]
+        rx, ry = roots[x], roots[y]
+        new = np.flatnonzero(rx != ry)
+        # of the pairs that join the same two trees one is enough
+        _, first = np.unique(np.minimum(rx[new], ry[new]) * n + np.maximum(rx[new], ry[new]), return_index=True)
+        for k in new[first].tolist():
+            forest.join(int(x[k]), int(y[k]))
     return forest.edges
 
 
-def _moved(node, by):
-    return node[0] + by, node[1] + by, node[2], node[3], tuple(_moved(k, by) for k in node[4])
+def block_masks(b: int, radius: int) -> list[int]:
+    """Masks of the bits that two near fingerprints share in at least one table: of b near-equal blocks, every choice of b - radius."""
+    edges = [64 * i // b for i in range(b + 1)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(edges)]
+    return [sum(c) for c in itertools.combinations(blocks, b - radius)]
 
 
-def tables_for(n: int, radius: int, per_bucket: int = 64) -> list[int]:
-    """Masks of the bits that two near fingerprints share in at least one table: of b near-equal blocks, every choice of b - radius."""
-    for b in range(radius + 1, 65):
-        edges = [64 * i // b for i in range(b + 1)]
-        blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(edges)]
-        masks = [sum(c) for c in itertools.combinations(blocks, b - radius)]
-        if n <= per_bucket * 2 ** (min(m.bit_count() for m in masks)) or b >= radius + 4:
-            return masks
-    raise ValueError("radius is too large")
+def blocks_for(n: int, radius: int, per_bucket: int = 1024) -> range:
+    """The numbers of blocks to deal fingerprints out by, and what is hot there again by the next, up to half of all bits."""
+    if not 0 <= radius <= 28:
+        raise ValueError("radius is too large")
+    most = 2 * radius if radius > 2 else radius + 3
+    first = next((b for b in range(radius + 1, most) if n <= per_bucket * 2 ** min(m.bit_count() for m in block_masks(b, radius))), most)
+    return range(first, most + 1)
+
+
+def keyed_by(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, t, k): each fingerprint's bucket in every table."""
+    signed = lambda m: m - 2**64 if m >= 2**63 else m
+    return distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("t", "k"))
 
 
 def near_links(distinct: DataFrame, radius: int = 4, bucket_rows: int = 20_000) -> DataFrame:
     """distinct (fp long): edges (a, b) that connect what is connected at `radius` bits."""
-    n = distinct.count()
-    masks = tables_for(n, radius)
-    signed = lambda m: m - 2**64 if m >= 2**63 else m
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("t", "k"))
-    # hot buckets are few: they are found by an aggregation with map-side combine
-    hot = keyed.groupBy("t", "k").count().filter(F.col("count") > bucket_rows)
-    hot = written(hot, "hot-buckets")
-    if not hot.count():
-        return _linked(keyed, radius)
-    return _linked(keyed.join(hot, ["t", "k"], "left_anti"), radius).unionAll(_linked_hot(keyed.join(hot, ["t", "k"]), radius, bucket_rows))
+    out = None
+    levels = blocks_for(distinct.count(), radius)
+    for b in levels:
+        keyed = keyed_by(distinct, block_masks(b, radius))
+        # hot buckets are few: they are found by an aggregation with map-side combine
+        hot = written(keyed.groupBy("t", "k").count().filter(F.col("count") > bucket_rows).select("t", "k"), "hot-buckets")
+        if not hot.take(1):
+            links = _linked(keyed, radius)
+            return links if out is None else out.unionAll(links)
+        links = _linked(keyed.join(hot, ["t", "k"], "left_anti"), radius)
+        out = links if out is None else out.unionAll(links)
+        kept = keyed.join(hot, ["t", "k"], "left_semi")
+        if b != levels[-1]:
+            distinct = written(kept.select("fp").distinct(), "hot-fingerprints")
+    return out.unionAll(_linked_runs(kept, radius, bucket_rows))
 
 
 def _linked(keyed: DataFrame, radius: int) -> DataFrame:
@@ -239,27 +281,54 @@ def _pairs(a, b) -> pa.RecordBatch:
     return pa.record_batch([pa.array(cat(a)), pa.array(cat(b))], names=["a", "b"])
 
 
-def _linked_hot(keyed: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
-    """keyed (t, k, fp, count): a hot bucket is cut into runs by hash, and every pair of runs is a task's group of at most two runs' rows."""
-    runs = F.ceil(F.col("count") / F.lit(bucket_rows // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), runs).cast("int")
-    cells = (
-        keyed.withColumn("runs", runs).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
-        .select("t", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp")
-    )
+def gray_column(fp: Column) -> Column:
+    """gray_rank as a column, with the first bit turned so that signed numbers are in its order."""
+    for n in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, n))
+    return fp.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
-    def run(batches):
-        tabs = pa.Table.from_batches(list(batches))
-        fp = tabs.column("fp").to_numpy().view(np.uint64)
-        side = tabs.column("mine").to_numpy()
+
+def node_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (t, k, run, both, some): pairs (t, k, i, j) of runs, i <= j, whose patterns differ in at most `radius` bits."""
+    side = lambda n: nodes.select("t", "k", F.col("run").alias(n), F.bitwise_not(F.col("both").bitwiseXOR(F.col("some"))).alias(f"mask_{n}"), F.col("both").alias(f"value_{n}"))
+    differ = F.bit_count(F.col("value_i").bitwiseXOR(F.col("value_j")).bitwiseAND(F.col("mask_i")).bitwiseAND(F.col("mask_j")))
+    return side("i").join(side("j"), ["t", "k"]).filter((F.col("i") <= F.col("j")) & (differ <= radius)).select("t", "k", "i", "j")
+
+
+def _linked_runs(keyed: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """keyed (t, k, fp) of hot buckets: ranged by Gray rank, cut into runs, and each pair of runs whose patterns are near is a task's group."""
+    n, run_rows = keyed.count(), max(1, bucket_rows // 2)
+    rank = gray_column(F.col("fp"))
+    ranged = keyed.select("t", "k", "fp", rank.alias("rank")).repartitionByRange(max(1, -(-n // bucket_rows)), "t", "k", "rank").sortWithinPartitions("t", "k", "rank")
+
+    def cut(batches):
+        first = TaskContext.get().partitionId() << 32
+        run, rows, of = first - 1, run_rows, None
+        for batch in batches:
+            t, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            runs = np.empty(len(t), np.int64)
+            for lo, hi in itertools.pairwise([0, *(np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1).tolist(), len(t)]):
+                while lo < hi:
+                    if rows >= run_rows or of != (t[lo], k[lo]):
+                        run, rows, of = run + 1, 0, (t[lo], k[lo])
+                    end = min(hi, lo + run_rows - rows)
+                    runs[lo:end], rows, lo = run, rows + end - lo, end
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(runs)], names=["t", "k", "fp", "run"])
+
+    rows = written(ranged.mapInArrow(cut, "t int, k long, fp long, run long"), "runs")
+    nodes = written(rows.groupBy("t", "k", "run").agg(F.bit_and("fp").alias("both"), F.bit_or("fp").alias("some")), "nodes")
+    pairs = written(node_pairs(nodes, radius), "node-pairs")
+    own = rows.withColumnRenamed("run", "i").join(pairs, ["t", "k", "i"]).select("t", "k", "i", "j", "fp", F.lit(0).alias("side"))
+    other = rows.withColumnRenamed("run", "j").join(pairs.filter("i < j"), ["t", "k", "j"]).select("t", "k", "i", "j", "fp", F.lit(1).alias("side"))
+
+    def linked(group: pa.Table) -> pa.Table:
+        fp, side = group.column("fp").to_numpy().view(np.uint64), group.column("side").to_numpy()
         order = np.lexsort((gray_rank(fp), side))
-        fp, side = fp[order], side[order]
-        cut = int(np.searchsorted(side, side[0], "right"))
-        e = link(fp, radius, None if cut == len(fp) else cut)
-        yield _pairs([fp[[i for i, _ in e]]], [fp[[j for _, j in e]]])
+        fp, n = fp[order], int((side == 0).sum())
+        e = link(fp, radius, None if n == len(fp) else n)
+        return pa.Table.from_batches([_pairs([fp[[i for i, _ in e]]], [fp[[j for _, j in e]]])])
 
-    return cells.groupBy("t", "k", "i", "j").applyInArrow(lambda group: pa.Table.from_batches(list(run(group.to_batches()))), "a long, b long")
+    return own.unionAll(other).groupBy("t", "k", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, bucket_rows: int = 20_000) -> DataFrame:

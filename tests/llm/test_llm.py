@@ -458,6 +458,84 @@ def test_links_equal_all_pairs(spark, bucket_rows):
     assert groups([roots.get(f, f) for f in signed]) == groups(want)
 
 
+@pytest.mark.parametrize("n, cut", [(2, None), (17, None), (900, None), (4000, None), (900, 300), (900, 1)])
+def test_the_gray_tree_prunes_groups_and_loses_no_link(n, cut):
+    rng = np.random.default_rng(n)
+    fps = rng.integers(0, 2**64, n // 2, dtype=np.uint64)
+    near = fps[rng.integers(0, len(fps), n - len(fps))].copy()
+    for _ in range(6):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64)
+    fps = np.unique(np.concatenate((fps, near)))
+    fps = fps[np.argsort(simhash_dedup.gray_rank(fps))]
+    if cut is not None:  # two runs, each in Gray order
+        side = rng.permutation(len(fps)) < cut
+        fps, cut = np.concatenate((fps[side], fps[~side])), int(side.sum())
+    pruned = []
+    edges = simhash_dedup.link(fps, 4, cut, pruned)
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    up = simhash_dedup.Forest(len(fps))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if a < b and (cut is None or a < cut <= b):
+            up.join(a, b)
+    got = simhash_dedup.Forest(len(fps))
+    for a, b in edges:
+        assert int(fps[a] ^ fps[b]).bit_count() <= 4 and (cut is None or a < cut <= b)
+        got.join(a, b)
+    assert len(got.edges) == len(edges) and np.array_equal(got.roots(), up.roots())
+
+
+def test_the_gray_tree_drops_groups_far_apart():
+    # 16 families of 256 near fingerprints, as hot buckets have them: most pairs of leaves go with an upper node
+    rng = np.random.default_rng(41)
+    fps = np.repeat(rng.integers(0, 2**64, 16, dtype=np.uint64), 256)
+    for _ in range(3):
+        fps ^= np.uint64(1) << rng.integers(0, 24, len(fps), dtype=np.uint64)
+    fps = np.unique(fps)
+    fps = fps[np.argsort(simhash_dedup.gray_rank(fps))]
+    tree, pruned = simhash_dedup.GrayTree(fps), []
+    left, right = simhash_dedup.leaf_pairs(tree, tree, 4, pruned)
+    leaves = -(-len(fps) // simhash_dedup.LEAF)
+    assert len(tree.levels) >= 4 and sum(n > 0 for n in pruned) >= 2
+    assert len(left) < leaves * leaves / 8
+    near = {(i // simhash_dedup.LEAF, j // simhash_dedup.LEAF) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)), strict=True)}
+    assert near <= set(zip(left.tolist(), right.tolist(), strict=True))
+
+
+def test_a_hot_bucket_is_dealt_out_anew(spark):
+    rng = np.random.default_rng(31)
+    n = 6000
+    fps = rng.integers(0, 2**64, n, dtype=np.uint64) >> np.uint64(13) << np.uint64(13)  # all agree on the first block of five
+    fps[1::2] = fps[::2] ^ (np.uint64(1) << rng.integers(13, 64, n // 2, dtype=np.uint64))
+    signed = np.unique(fps).view(np.int64)
+    df = spark.createDataFrame([(int(f),) for f in signed], "fp long")
+    # the rows of the hot bucket are copied once for each table of the next level, not once for each run
+    assert simhash_dedup.keyed_by(df, simhash_dedup.block_masks(6, 4)).count() == 15 * len(signed)
+    links = simhash_dedup.near_links(df, 4, bucket_rows=500).collect()
+    assert len(links) <= 20 * len(signed)
+    have = {(min(r.a, r.b), max(r.a, r.b)) for r in links}
+    roots = {r.node: r.root for r in components(spark.createDataFrame(list(have), "a long, b long")).collect()}
+    unsigned = signed.view(np.uint64)
+    up = simhash_dedup.Forest(len(signed))
+    for lo in range(0, len(signed), 1000):
+        for a, b in zip(*np.nonzero(np.bitwise_count(unsigned[lo : lo + 1000, None] ^ unsigned[None, :]) <= 4), strict=True):
+            up.join(lo + int(a), int(b))
+    want = {}
+    for i, r in enumerate(up.roots().tolist()):
+        want.setdefault(r, set()).add(int(signed[i]))
+    got = {}
+    for f in map(int, signed):
+        got.setdefault(roots.get(f, f), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pairs_of_runs_are_pruned_by_their_patterns(spark):
+    nodes = [(0, 0, 0, 0b0000, 0b0011), (0, 0, 1, 0b1100, 0b1111), (0, 0, 2, 0b1111100, 0b1111100), (0, 1, 3, 0, 0)]
+    got = simhash_dedup.node_pairs(spark.createDataFrame(nodes, "t int, k long, run long, both long, some long"), 2).collect()
+    assert sorted((r.i, r.j) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 2), (3, 3)] or sorted((r.i, r.j) for r in got) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (3, 3)]
+    ranks = spark.createDataFrame([(int(f),) for f in np.arange(-40, 40)], "fp long").select("fp", simhash_dedup.gray_column(F.col("fp")).alias("r")).orderBy("r").collect()
+    assert [r.fp for r in ranks] == sorted((r.fp for r in ranks), key=lambda f: int(simhash_dedup.gray_rank(np.array([f], np.int64).view(np.uint64))[0]))
+
+
 def test_near_duplicates_edges(spark):
     base = long_text(9, 400)
     texts = [base, base, base + " tail", None, "", long_text(10, 300)]
