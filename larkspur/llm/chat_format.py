@@ -16,8 +16,11 @@ The fold is dealt out by conversation and message, so one hot conversation is fo
 Only rendering brings a conversation together, as its output is one value (and its digests are of the
 whole); a conversation must thus be within Spark's 2 GB for a value.
 
-Defined results: null text is empty, null role the empty role, null kind a message. Events of equal sequence number are
-ordered by message, role and text; repeated rows of kind `message` without a message id are messages of
+Rows by turn become a log (`as_events`) in which each row is a message with an id of its own, so they go through the same fold.
+What a model is trained on is taken from the formatted text alone: it is split into turns again, and those of the trained role count.
+
+Defined results: null text is empty, null role the empty role, null kind a message. Messages of equal sequence number are
+ordered by role and text (equal ones are alike); repeated rows of kind `message` without a message id are messages of
 their own. A null conversation is one conversation. Empty table: no rows. Extra columns are not looked at.
 """
 
@@ -73,7 +76,7 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     """(conv_id, segments array<struct<text, loss>>, formatted): loss marks what a model is trained on."""
-    turn = F.struct("seq", "message_id", "role", "text")
+    turn = F.struct("seq", "role", "text")
     gathered = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def segments(t):
@@ -101,14 +104,17 @@ def loss_text(segments: Column) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
 
 
+def trained_text(turns: Column, trained: str = "assistant") -> Column:
+    """All text of the trained role's turns, as `read_back` gives them, with nothing between."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == trained), lambda t: t["text"]), "")
+
+
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as a log: every row a whole message at its turn, with an id of its own (the turn and the row's place in it), so repeated rows stay apart."""
+    """Rows by turn as a log: every row a whole message at its turn, with an id of its own, so repeated rows stay apart.
+
+    The id is the row's place in the input, which a task that runs again finds the same; nothing is shuffled for it."""
     role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    rows = conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), role, text)
-    place = F.row_number().over(Window.partitionBy("conv_id", "seq").orderBy("role", "text"))
-    # of fixed width, so that ids of one turn sort as numbers
-    name = F.concat_ws("/", F.col("seq").cast("string"), F.lpad(place.cast("string"), 10, "0"))
-    return rows.select("conv_id", "seq", "kind", name.alias("message_id"), "role", "text")
+    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().cast("string").alias("message_id"), role, text)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +122,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(asked).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = render(fold(as_events(rows)))
-    turns, loss = read_back(F.col("formatted")), loss_text(F.col("segments"))
-    # digests are computed of columns bound once
-    read = out.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss"))
+    # all that follows is read back from the formatted text; digests are computed of columns bound once
+    read = out.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"))
+    read = read.select("conv_id", "formatted_chars", "turns", trained_text(F.col("turns")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -340,6 +340,51 @@ def test_rows_by_turn_go_through_the_fold(spark):
     assert got == {1: [("", "z"), ("user", "b"), ("user", "b")], None: [("user", "n")] * 2, 2: [("user", f"t{i:02}") for i in range(12)]}
 
 
+def plain_fold(log):
+    """Event by event, in order of sequence numbers."""
+    found, order = {}, sorted(log, key=lambda e: e[1])
+    for conv, seq, kind, message, role, text in order:
+        at = found.setdefault((conv, message), [seq, role or "", ""])
+        at[2] = {"delta": at[2] + (text or ""), "regenerate": ""}.get(kind, text or "")
+    return sorted((conv, seq, role, text) for (conv, _), (seq, role, text) in found.items())
+
+
+def test_random_logs_fold_as_event_by_event(spark):
+    rng = np.random.default_rng(51)
+    log = []
+    for conv in range(12):
+        for seq in rng.permutation(int(rng.integers(1, 80))).tolist():
+            message = f"m{rng.integers(0, 6)}"
+            kind = str(rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]))
+            log.append((conv, seq, kind, message, f"r{message[1:]}", None if rng.random() < 0.1 else f"{seq}<|\\ "))
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id string, role string, text string").repartition(5)
+    got = sorted((r.conv_id, r.seq, r.role, r.text) for r in chat_format.fold(events).collect())
+    assert got == plain_fold(log)
+    out = chat_format.render(chat_format.fold(events)).select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns")).collect()
+    assert sorted((r.conv_id, t.role, t.text) for r in out for t in r.turns) == sorted((c, r, t) for c, _, r, t in plain_fold(log))
+
+
+@needs_data
+def test_the_fold_is_in_the_plan_of_the_query(spark):
+    plan = chat_format.op5_chat_format(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # deltas from a message's start are gathered: a window by message and an aggregate by message, whatever the rows' kinds
+    assert "Window" in plan and "message_id" in plan and plan.count("Aggregate") >= 2
+
+
+def test_chat_query_on_odd_rows(spark, tmp_path):
+    long = "x<|im_end|>" * 100_000
+    rows = [(1, 0, None, None, "k"), (1, 1, "assistant", long, "k"), (1, 1, "assistant", long, "k"), (None, 0, "assistant", None, "k"), (2, 0, "user", "", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message_id string")
+    for name, part in (("all", df), ("none", df.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+    got = {r.conv_id: r for r in chat_format.op5_chat_format(spark, f"file://{tmp_path}/all").collect()}
+    assert set(got) == {1, 2, None, -7} and (got[1].n_turns, got[1].loss_chars) == (3, 2 * len(long))
+    assert got[1].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256(f"\n\nassistant\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+    assert (got[None].n_turns, got[None].loss_chars, got[2].n_turns) == (1, 0, 1)
+    assert [r.conv_id for r in chat_format.op5_chat_format(spark, f"file://{tmp_path}/none").collect()] == [-7]
+
+
 # 6 SpotSigs
 
 
