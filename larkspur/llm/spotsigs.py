@@ -1,11 +1,10 @@
 """Document fingerprints by SpotSigs, with DataFrame operations only.
 
 A spot is an anchor that stands right before content words; its signature is the anchor and the chain of
-the next `CHAIN` content words, common words between them left out. Anchors are common words (of
-English, French, German and Spanish, below) and, since lists and tables have hardly any, one in about
+the next `CHAIN` content words, common words between them left out (fewer where the text ends). Anchors are common words (of
+English, French, German and Spanish, below), the text's start and, since lists and tables have hardly any common words, one in about
 `DRAWN` of the other words, drawn by their letters. Of several anchors in a row the last counts. A fingerprint
-is the set of a text's signatures. Words are runs of letters and digits in lower case. Texts under
-`SHORT` code points have too few anchors for chains; there each word is the anchor of the next.
+is the set of a text's signatures. Words are runs of letters and digits in lower case. Texts of all lengths follow this one rule.
 
 Sets are compared by Jaccard likeness, pruned by length: two sets of m <= n signatures can't be more
 alike than m / n, so a length class only meets itself and its neighbours (`length_class`), and
@@ -16,7 +15,7 @@ ids (quantiles of the ids alone) and sorted in them; the first row of each range
 end of the range above it, so one shuffle of the texts is enough, and no range depends on the hottest source or text.
 
 Defined results: null text is the empty text, whose fingerprint is empty; two empty sets are alike
-(1), an empty and another are not (0). A text with words but no spot has one signature, of all its words;
+(1), an empty and another are not (0). A text of common words only has one signature, of all its words;
 a text without words has one of itself. Equal ids are ordered by text, null ids come last. Repeated
 rows are documents of their own. A single document is its own next. Extra columns are not looked at.
 """
@@ -30,9 +29,8 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import let, table, written
 
-CHAIN = 3
+CHAIN = 2
 DRAWN = 12
-SHORT = 300
 #: Likeness from which two texts count as near duplicates.
 NEAR = 0.8
 # Common words of four languages, which serve as anchors.
@@ -62,22 +60,16 @@ def signatures(text: Column) -> Column:
 
     def spots(w, p):
         def spot(i, k):
-            led = (i > 0) & ((k == 0) | (F.get(p, k - 1) < i - 1) | _drawn(F.get(w, i - 1)))
-            chain = [F.get(w, i - 1), F.lit(" "), F.get(w, i)]
-            for n in range(1, CHAIN):
-                chain += [F.lit(" "), F.get(w, F.get(p, k + n))]
-            return F.when(led & (k + CHAIN <= F.size(p)), digest(F.concat(*chain)))
+            led = (k == 0) | (F.get(p, k - 1) < i - 1) | _drawn(F.get(w, i - 1))
+            # words that aren't there are left out
+            return F.when(led, digest(F.concat_ws(" ", F.when(i > 0, F.get(w, i - 1)).otherwise(""), F.get(w, i), *[F.get(w, F.get(p, k + n)) for n in range(1, CHAIN)])))
 
-        found = F.array_distinct(F.filter(F.transform(p, spot), lambda s: s.isNotNull()))
+        found = F.array_sort(F.array_distinct(F.filter(F.transform(p, spot), lambda s: s.isNotNull())))
         whole = F.when(F.size(w) > 0, F.array(digest(F.array_join(w, " "))))
-        return F.when(F.size(found) > 0, F.array_sort(found)).otherwise(whole)
-
-    def of_short(w):
-        pairs = F.transform(w, lambda x, i: digest(F.concat(F.when(i > 0, F.get(w, i - 1)).otherwise(""), F.lit(" "), x)))
-        return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(pairs)))
+        return F.when(F.size(p) > 0, found).otherwise(whole)
 
     bare = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(digest(text)))
-    return F.coalesce(let(words, lambda w: F.when(F.length(text) < SHORT, of_short(w)).otherwise(of_words(w))), bare)
+    return F.coalesce(let(words, of_words), bare)
 
 
 def length_class(size: Column, least: float) -> Column:
@@ -99,7 +91,7 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when((m == 0) & (n == 0), F.lit(1.0)).when(far | (F.least(m, n) == 0), F.lit(0.0)).otherwise(common / (m + n - common))
 
 
-def near_pairs(docs: DataFrame, least: float = NEAR) -> DataFrame:
+def near_pairs(docs: DataFrame, least: float = NEAR, hot_rows: int = 5_000) -> DataFrame:
     """(a, b, likeness): every two different signature sets of likeness `least` or more, by the least doc_id of the texts that have them (null if none has an id).
 
     Equal sets are folded first; `doc_id`s of a set are its class (see `classes`). Candidates share one of the rarest
@@ -111,10 +103,14 @@ def near_pairs(docs: DataFrame, least: float = NEAR) -> DataFrame:
     rare = spots.join(spots.groupBy("x").agg(F.count("*").alias("df")), "x").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
     prefix = rare.select("key", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("p"))
     prefix = written(prefix.select("key", "n", F.col("p.x").alias("x"), length_class(F.col("n"), least).alias("c")), "spot-prefixes")
+    cells = prefix.groupBy("x", "c").agg(F.ceil(F.count("*") / F.lit(max(1, hot_rows // 10))).cast("int").alias("cells"), F.count("*").alias("rows")).filter(F.col("rows") > hot_rows).drop("rows")
+    cells = written(cells, "hot-spots")
     # the smaller set of a pair is in the larger one's class or the one below
     small = prefix.select(F.col("key").alias("k1"), F.col("n").alias("n1"), "x", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c"))
-    large = prefix.select(F.col("key").alias("k2"), F.col("n").alias("n2"), "x", "c")
-    found = small.join(large, ["x", "c"]).filter(((F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2"))) & (F.col("n1") >= F.col("n2") * least - 1e-9))
+    small = small.join(cells, ["x", "c"], "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("k1"), F.col("cells")).cast("int"), F.lit(0)))
+    large = prefix.select(F.col("key").alias("k2"), F.col("n").alias("n2"), "x", "c").join(cells, ["x", "c"], "left")
+    large = large.withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cells"), F.lit(1)) - 1)))
+    found = small.drop("cells").join(large.drop("cells"), ["x", "c", "cell"]).filter(((F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2"))) & (F.col("n1") >= F.col("n2") * least - 1e-9))
     pairs = found.select("k1", "k2").distinct()
     side = lambda k, name: reps.select(F.col("key").alias(k), F.col("first").alias(name), F.col("s").alias(f"s_{k}"))
     whole = pairs.join(side("k1", "p"), "k1").join(side("k2", "q"), "k2").withColumn("likeness", likeness(F.col("s_k1"), F.col("s_k2"), least))
@@ -195,8 +191,7 @@ _IN = "(" + ", ".join(f"'{w}'" for w in COMMON) + ")"
 _SIGS = f"""
   CASE WHEN {{t}} = '' THEN CAST([] AS VARCHAR[])
        WHEN len({{w}}) = 0 THEN [substr(md5({{t}}), 1, 16)]
-       WHEN length({{t}}) < {SHORT} THEN list_sort(list_distinct(list_transform(range(1, len({{w}}) + 1), lambda i: substr(md5((CASE WHEN i > 1 THEN {{w}}[i - 1] ELSE '' END) || ' ' || {{w}}[i]), 1, 16))))
-       WHEN len({{s}}) = 0 THEN [substr(md5(array_to_string({{w}}, ' ')), 1, 16)]
+       WHEN len({{p}}) = 0 THEN [substr(md5(array_to_string({{w}}, ' ')), 1, 16)]
        ELSE list_sort({{s}}) END"""
 
 
@@ -204,8 +199,8 @@ def _oracle() -> str:
     one = lambda c: [
         f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS {c}_w",
         f"list_filter(list_transform(range(1, len({c}_w) + 1), lambda i: CASE WHEN {c}_w[i] IN {_IN} THEN -1 ELSE i END), lambda i: i > 0) AS {c}_p",
-        f"list_distinct(list_filter(list_transform(range(1, len({c}_p) + 1), lambda k: CASE WHEN {c}_p[k] > 1 AND (k = 1 OR {c}_p[k - 1] < {c}_p[k] - 1 OR (ascii({c}_w[{c}_p[k] - 1]) + 7 * length({c}_w[{c}_p[k] - 1])) % {DRAWN} = 0) AND k + {CHAIN - 1} <= len({c}_p) THEN substr(md5({c}_w[{c}_p[k] - 1] || ' ' || " + " || ' ' || ".join(f"{c}_w[{c}_p[k + {n}]]" for n in range(CHAIN)) + f"), 1, 16) END), lambda s: s IS NOT NULL)) AS {c}_s",
-        _SIGS.format(t=c, w=f"{c}_w", s=f"{c}_s") + f" AS {c}_sig",
+        f"list_distinct(list_filter(list_transform(range(1, len({c}_p) + 1), lambda k: CASE WHEN k = 1 OR {c}_p[k - 1] < {c}_p[k] - 1 OR (ascii({c}_w[{c}_p[k] - 1]) + 7 * length({c}_w[{c}_p[k] - 1])) % {DRAWN} = 0 THEN substr(md5(concat_ws(' ', CASE WHEN {c}_p[k] > 1 THEN {c}_w[{c}_p[k] - 1] ELSE '' END, " + ", ".join(f"{c}_w[{c}_p[k + {n}]]" for n in range(CHAIN)) + f")), 1, 16) END), lambda s: s IS NOT NULL)) AS {c}_s",
+        _SIGS.format(t=c, w=f"{c}_w", p=f"{c}_p", s=f"{c}_s") + f" AS {c}_sig",
     ]
     levels = list(zip(one("own"), one("edit"), one("nxt"), strict=True))
     ctes = ", ".join(f"l{k + 1} AS (SELECT *, {', '.join(level)} FROM l{k})" for k, level in enumerate(levels))

@@ -394,9 +394,10 @@ def plain_signatures(text):
     digest = lambda s: hashlib.md5(s.encode()).hexdigest()[:16]
     ws = [w for w in re.split(r"[^\w]+|_+", text.lower()) if w]
     content = [i for i, w in enumerate(ws) if w not in common]
-    if ws and len(text) < spotsigs.SHORT:
-        return sorted({digest(f"{ws[i - 1] if i else ''} {w}") for i, w in enumerate(ws)})
-    out = {digest(" ".join([ws[i - 1], *(ws[j] for j in content[k : k + spotsigs.CHAIN])])) for k, i in enumerate(content) if i > 0 and anchor(ws[i - 1]) and k + spotsigs.CHAIN <= len(content)}
+    out = set()
+    for k, i in enumerate(content):
+        if k == 0 or anchor(ws[i - 1]):
+            out.add(digest(" ".join([ws[i - 1] if i else "", *(ws[j] for j in content[k : k + spotsigs.CHAIN])])))
     if not out and text:
         out = {digest(" ".join(ws) if ws else text)}
     return sorted(out)
@@ -418,6 +419,22 @@ def test_spotsigs_equal_brute_force(spark):
         assert r.s == plain_signatures(r.text or "")
 
 
+@needs_data
+def test_no_length_breaks_likeness(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) >= 600")
+    cut = lambda n: spotsigs.signatures(F.substring("text", 1, n))
+    alike = lambda n: spotsigs.likeness(cut(n - 1), cut(n + 1)).alias(f"at_{n}")
+    got = docs.select(*[F.avg(alike(n)).alias(f"at_{n}") for n in (250, 300, 350, 500)]).first().asDict()
+    assert got["at_300"] > 0.9 and got["at_250"] <= got["at_300"] + 0.02 <= got["at_350"] + 0.04 <= got["at_500"] + 0.06
+
+
+def test_spots_of_long_texts_and_clashing_columns(spark):
+    text = " ".join(f"the w{i} x{i % 7}" for i in range(60_000))
+    docs = documents(spark, [text, text + " tail", "short"]).withColumn("own", F.lit("clash")).withColumn("r", F.lit(1)).withColumn("halo", F.lit(9))
+    got = {r.doc_id: (r.own, r.next_own) for r in spotsigs.with_next(docs, carry={"own": F.size(spotsigs.signatures(F.col("text")))}).collect()}
+    assert got[2][1] == got[1][0] and got[1][1] == got[0][0] > 50_000 and got[0][1] == got[2][0] == 1
+
+
 def test_likeness_and_length_classes(spark):
     pairs = [([], []), (["a"], []), (["a", "b"], ["b", "c"]), (list("abcdefghij"), list("abcdefghi")), (["a"], ["a"])]
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
@@ -445,6 +462,8 @@ def test_near_pairs_equal_brute_force(spark):
     want = {(a, b): len(reps[a] & reps[b]) / len(reps[a] | reps[b]) for a, b in itertools.combinations(sorted(reps), 2)}
     want = {k: v for k, v in want.items() if v >= 0.8}
     got = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(docs).collect()}
+    split = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(docs, hot_rows=2).collect()}
+    assert split == got
     assert got.keys() == want.keys() and len(want) > 15 and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
     assert {r.doc_id: r.class_id for r in spotsigs.classes(docs).collect()} == {i: first[x] for i, x in sets.items()}
     assert spotsigs.near_pairs(docs.limit(0)).count() == 0
