@@ -1,14 +1,15 @@
 """License scans by sentence rules, with DataFrame operations only.
 
-A text is cut into pieces (line ends, and white space after . ; : ! or ?), each normalised to
+A text is cut into pieces (line ends, and white space after . , ; : ! or ?), each normalised to
 lower-case words. A known sentence is a run of whole pieces with its words, so it may be wrapped over
-lines (comment marks and all), and hold 'v. 2.0' or a semicolon; it doesn't go on beyond an empty line. Of two
+lines (comment marks and all), and hold 'v. 2.0' or a semicolon; it may be a clause between commas, and doesn't go on beyond an empty line. Of two
 that start at one piece the longer counts. Known sentences have identifiers; a document becomes the sequence of its known
 sentences' identifiers, other sentences between them notwithstanding. Licence rules are ordered
 sequences of identifiers; they are tried in order, longer and more specific rules first, and what a
 rule has matched is not matched again.
 
-The dictionary is a constant of a few dozen sentences, held in the expressions themselves: no join, no
+Sentences and rules are data: `scan` takes any, up to `MOST_SENTENCES`, and has those of well-known licences (`KNOWN`, `RULES`) else.
+The dictionary becomes one pattern, factored by common beginnings, held in the expressions themselves: no join, no
 shuffle, no broadcast; one pass over the text. Nothing depends on other rows.
 
 Defined results: null or empty text has no sentences and no licences. A sentence repeated in a
@@ -17,6 +18,8 @@ text counts each time. Extra columns and repeated rows don't matter; a row is re
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,14 @@ SENTENCES = {
     "cc-by-nc-sa": "licensed under cc by nc sa 4 0",
     "cc-by-nd": "licensed under cc by nd 4 0",
     "cc0": "licensed under cc0 1 0",
+    "gpl-library": "this library is free software",
+    "lgpl21-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
 }
 #: Licence and the sentences that say it, in the order in which rules are tried.
 RULES = [
@@ -80,28 +91,85 @@ RULES = [
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa"]),
     ("CC-BY-ND-4.0", ["cc-by-nd"]),
     ("CC0-1.0", ["cc0"]),
+    ("LGPL-2.1-or-later", ["gpl-library", "lgpl21-later"]),
+    ("LGPL-3.0-or-later", ["gpl-library", "lgpl3-later"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl3-later"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl3-later"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("EPL-2.0", ["epl2"]),
+    ("0BSD", ["0bsd-grant"]),
 ]
+#: Notices of one sentence, which may have a subject, and what they may have before them.
+NOTICES = ("apache-short", "mit-short", "mit-licensed", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa", "cc-by-nd", "cc0")
+SUBJECTS = ("this is", *(f"{the} {what} is" for the in ("this", "the") for what in ("work", "project", "software", "code", "program", "library", "package", "file")))
+
+#: How many sentences a dictionary may have: they and their identifiers are part of the query's expressions.
+MOST_SENTENCES = 5_000
+
+
+def normalised(text: str) -> str:
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+def _known() -> dict[str, str]:
+    """Identifiers by sentence: the fixed sentences, notices with subjects, and SPDX lines of all licences that the rules name."""
+    out = {s: i for i, s in SENTENCES.items()}
+    out |= {f"{subject} {SENTENCES[i]}": i for i in NOTICES for subject in SUBJECTS}
+    return out | {f"spdx license identifier {normalised(name)}": f"spdx-{name}" for name, _ in RULES}
+
+
+KNOWN = _known()
+SPDX_RULES = [(name, [f"spdx-{name}"]) for name in dict.fromkeys(name for name, _ in RULES)]
+
+
+def pattern(sentences: list[str]) -> str:
+    """Any of the sentences from the start of a piece to the end of one, longer ones first, sentences of one beginning sharing it."""
+    tree: dict = {}
+    for s in sentences:
+        node = tree
+        for word in s.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def after(node: dict) -> str:
+        """What may follow a node's word, words between blanks or line ends."""
+        ways, tails = [], sorted(w for w in node if w)
+        for w in tails:
+            run, below = [w], node[w]
+            while len(below) == 1 and "" not in below:  # a stretch without forks
+                ((word, below),) = below.items()
+                run.append(word)
+            ways.append("[ \\n]".join(run) + after(below))
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:[ \\n]{one})?" if "" in node else f"[ \\n]{one}"
 
-#: Any known sentence from the start of a piece to the end of one, longer ones first.
-_ANY = "(?m)^(" + "|".join(s.replace(" ", "[ \\n]") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + ")$"
+    return "(?m)^(" + after(tree).removeprefix("[ \\n]") + ")$"
 
 
 def _sequence(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order, each in angle brackets, as one string."""
-    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([.;:!?])[\x20\x09-\x0D]+", "$1\n")
+def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
+    """Identifiers of the known sentences of a text, in order, each in angle brackets, as one string. known: identifiers by normalised sentence."""
+    known = KNOWN if known is None else known
+    if not known:
+        return F.lit("")
+    if len(known) > MOST_SENTENCES:
+        raise ValueError(f"{len(known)} sentences; at most {MOST_SENTENCES}")
+    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([.,;:!?])[\x20\x09-\x0D]+", "$1\n")
     plain = F.regexp_replace(F.regexp_replace(ended, r"[^\p{L}\p{N}\n]+", " "), r" *\n *", "\n")
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, f"<{i}>")])
-    found = F.regexp_extract_all(F.trim(plain), F.lit(_ANY), F.lit(1))
-    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " "))), "")
+    ids = F.create_map(*[F.lit(x) for s, i in known.items() for x in (s, f"<{i}>")])
+    found = F.regexp_extract_all(F.trim(plain), F.lit(pattern(list(known))), F.lit(1))
+    return F.array_join(F.transform(found, lambda s: F.element_at(ids, F.translate(s, "\n", " "))), "")
 
 
-def licenses(ids: Column) -> Column:
+def licenses(ids: Column, rules: list[tuple[str, list[str]]] | None = None) -> Column:
     """array<struct<license, n>>: what the rules match in a sequence, each sentence used once."""
-    rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(_sequence(seq)).alias("seq")) for name, seq in RULES])
+    rules = [*RULES, *SPDX_RULES] if rules is None else rules
+    rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(_sequence(seq)).alias("seq")) for name, seq in rules])
     start = F.struct(ids.alias("left"), F.array().cast("array<struct<license:string,n:int>>").alias("found"))
 
     def apply(state, rule):
@@ -113,10 +181,10 @@ def licenses(ids: Column) -> Column:
     return F.aggregate(rules, start, apply, lambda s: s["found"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(doc_id, sentences, licenses, matches): known sentences, distinct licences by code point joined by commas, rules matched."""
-    seen = docs.select("doc_id", sentence_ids(F.col("text")).alias("ids"))
-    got = let(licenses(F.col("ids")), lambda a: F.struct(
+    seen = docs.select("doc_id", sentence_ids(F.col("text"), known).alias("ids"))
+    got = let(licenses(F.col("ids"), rules), lambda a: F.struct(
         F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["license"]))), ",").alias("licenses"),
         F.aggregate(a, F.lit(0), lambda n, x: n + x["n"]).cast("long").alias("matches"),
     ))

@@ -288,6 +288,56 @@ def test_published_licenses_as_they_are_wrapped(spark):
     assert ids == ["<apache-grant><apache-comply><apache-copy><apache-basis>", "<mit-title>", "", "<mit-short>"]
 
 
+LGPL_TEXT = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+ZLIB_TEXT = """  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:
+"""
+
+
+def test_more_licenses_notices_and_near_misses(spark):
+    want = {
+        LGPL_TEXT: "LGPL-2.1-or-later", AGPL_TEXT: "AGPL-3.0-or-later", ZLIB_TEXT: "Zlib", "This is licensed under the MIT license.": "MIT", "Released under the MIT license, see LICENSE": "MIT",
+        "The software is\nlicensed under the Apache License, Version 2.0, whatever.": "Apache-2.0", "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;": "GPL-3.0-or-later", "# SPDX-License-Identifier: MIT": "MIT",
+        LGPL_TEXT.replace("any later", "no later"): "", AGPL_TEXT.replace("Affero", "Afferent"): "", ZLIB_TEXT.replace("commercial", "some"): "", "nothing here is licensed under the MIT license.": "", "SPDX-License-Identifier: MIT-like": "",
+    }
+    got = [r.licenses for r in license_scan.scan(documents(spark, list(want))).orderBy("doc_id").collect()]
+    assert got == list(want.values())
+
+
+def test_sentences_and_rules_are_data(spark):
+    rng = np.random.default_rng(4)
+    known = {" ".join(str(rng.integers(0, 4)) for _ in range(int(rng.integers(1, 6)))): None for _ in range(300)}
+    known = {s: f"s{k}" for k, s in enumerate(known)}
+    lines = ["\n".join(" ".join(str(rng.integers(0, 4)) for _ in range(int(rng.integers(1, 6)))) for _ in range(6)) for _ in range(200)]
+    long = "\n".join(["1 2", "no", "x " * 50_000, "0 1"])
+    got = license_scan.scan(documents(spark, [*lines, long, lines[0]]).withColumn("licenses", F.lit("clash")), known, [("Both", ["s0", "s1"]), ("One", ["s0"])]).orderBy("doc_id").collect()
+    for r, text in zip(got, [*lines, long, lines[0]], strict=True):
+        pieces, at, ids = text.split("\n"), 0, ""
+        while at < len(pieces):
+            runs = [(n, " ".join(pieces[at : at + n])) for n in range(len(pieces) - at, 0, -1) if " ".join(pieces[at : at + n]) in known]
+            ids += f"<{known[runs[0][1]]}>" if runs else ""
+            at += runs[0][0] if runs else 1
+        assert r.sentence_ids == ids
+        both = ids.count("<s0><s1>")
+        assert r.matches == ids.count("<s0>") and r.licenses == ",".join(n for n, k in (("Both", both), ("One", ids.count("<s0>") - both)) if k)
+    with pytest.raises(ValueError):
+        license_scan.sentence_ids(F.col("text"), {str(i): "x" for i in range(license_scan.MOST_SENTENCES + 1)})
+
+
 # 5 chat formatting
 
 
