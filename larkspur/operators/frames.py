@@ -27,16 +27,6 @@ def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> D
     return df.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("__key"), "left_anti")
 
 
-def any_match(df: DataFrame, other: DataFrame, condition: Column) -> DataFrame:
-    """Rows for which the comparison holds with some row of `other` (op ANY)."""
-    return df.join(other, condition, "left_semi")
-
-
-def all_match(df: DataFrame, other: DataFrame, condition: Column) -> DataFrame:
-    """Rows for which the comparison holds with every row of `other` (op ALL); UNKNOWN does not hold."""
-    return df.join(other, ~F.coalesce(condition, F.lit(False)), "left_anti")
-
-
 def top(df: DataFrame, n: int, *keys: tuple[str, bool], offset: int = 0) -> DataFrame:
     """ORDER BY keys (name, descending) with NULL as the largest value, OFFSET and LIMIT: one TakeOrderedAndProject, no full sort."""
     return df.orderBy(*[desc(k) if d else asc(k) for k, d in keys]).offset(offset).limit(n)

@@ -121,6 +121,8 @@ class Transaction:
     start: dict
     savepoints: list[tuple[str, dict]] = field(default_factory=list)
     changed: bool = False
+    #: Tables that were read FOR UPDATE.
+    claimed: set[tuple[str, str]] = field(default_factory=set)
 
 
 class Database:
@@ -187,7 +189,7 @@ class Session:
     def __init__(self, db: Database, user: str, space: str | None):
         self.db, self.spark, self.user, self.space = db, db.spark, user, space
         self.number, self.autocommit, self.zone, self.txn = next(_numbers), True, "UTC", None
-        self.clock, self.views, self.unchecked = self.now(), [], []
+        self.clock, self.views, self.unchecked, self.read = self.now(), [], [], set()
         db.sessions[self.number] = self
 
     def close(self) -> None:
@@ -215,9 +217,17 @@ class Session:
         if txn is None or txn.savepoints or self.db.store is None:
             return
         version, latest = self.db.load()
+        if self.lost(latest):
+            return  # what was read FOR UPDATE has changed: the snapshot stays, and the commit fails
         if version != txn.base and (merged := merge(txn.start, txn.manifest, latest)) is not None:
             txn.base, txn.start, txn.manifest = version, latest, merged
 
+    def lost(self, latest: dict, txn: Transaction | None = None) -> bool:
+        """Whether others have changed a table that the transaction has read FOR UPDATE."""
+        txn = txn or self.txn
+        of = lambda m, key: m["spaces"].get(key[0], {"tables": {}})["tables"].get(key[1])
+        return any(of(latest, key) != of(txn.start, key) for key in txn.claimed)
+
     def commit(self) -> None:
         txn, self.txn = self.txn, None
         if txn is not None and txn.changed:
@@ -227,7 +237,7 @@ class Session:
             with self.db.lock:
                 for _ in range(10):
                     version, latest = self.db.load()
-                    mine = txn.manifest if version == txn.base else merge(txn.start, txn.manifest, latest)
+                    mine = txn.manifest if version == txn.base else None if self.lost(latest, txn) else merge(txn.start, txn.manifest, latest)
                     if mine is None:
                         break
                     with contextlib.suppress(SqlError):  # another process was faster; look again
@@ -270,6 +280,7 @@ class Session:
         raise SqlError("42P01", f"Table or view {own}.{name} does not exist", at)
 
     def table_relation(self, space: str, name: str, t: dict) -> Relation:
+        self.read.add((space, name))
         df = self.db.store.read(t)
         view = f"larkspur_{uuid.uuid4().hex}"
         df.toDF(*[c["name"] for c in t["columns"]]).createOrReplaceTempView(view)
@@ -338,7 +349,10 @@ class Session:
 
     def data(self, n: Node, params: list) -> Result:
         if n.kind == "Query":
+            self.read = set()
             bound = self.bind(n.query, params)
+            if n.query.for_update and self.db.store is not None and (self.txn is not None or not self.autocommit):
+                self.in_transaction().claimed |= self.read
             return Result(bound.columns, self.frame(bound), "SELECT", tag=self.tag)
         if self.db.store is None:
             raise SqlError("25006", "This database is read only")

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import copy
 import json
+import os
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +28,24 @@ SEGMENT = "__segment"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise SqlError("58030", "spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
     return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='larkspur-')}/db-{uuid.uuid4().hex}"
 
 
+def claim_local(draft: str, final: str) -> bool:
+    """Gives a file its final name unless there is one of that name: a link is made whole or not at all, whichever process is first."""
+    try:
+        os.link(draft, final)
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(draft)
+    return True
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -54,13 +70,24 @@ class Store:
             stream.close()
 
     def save(self, base: int, manifest: dict) -> int:
-        """The next version after `base`; 40001 if another writer has made it. The draft is renamed, so readers never see half a manifest."""
-        draft, final = self.path(f"{self.root}/.draft-{uuid.uuid4().hex}"), self.path(f"{self.root}/manifest-{base + 1:012d}.json")
-        out = self.fs.create(draft, True)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-        if self.fs.exists(final) or not self.fs.rename(draft, final):
+        """The next version after `base`; 40001 if another writer has made it. Readers never see half a manifest.
+
+        On a local file system the draft is linked, on HDFS it is renamed (which replaces nothing there), and on other
+        stores the file is created under its final name, which appears when it is closed and is refused if it is there."""
+        final, scheme = self.path(f"{self.root}/manifest-{base + 1:012d}.json"), self.fs.getUri().getScheme()
+        draft = final if scheme not in ("file", "hdfs", "viewfs", "webhdfs") else self.path(f"{self.root}/.draft-{uuid.uuid4().hex}")
+        try:
+            out = self.fs.create(draft, False)
+            out.write(json.dumps(manifest).encode())
+            out.close()
+            made = draft is final or (claim_local(draft.toUri().getPath(), final.toUri().getPath()) if scheme == "file" else self.fs.rename(draft, final))
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            made = False
+        if draft is not final:
             self.fs.delete(draft, False)
+        if not made:
             raise SqlError("40001", "Another session has committed meanwhile; run the transaction again")
         for old in self.versions()[:-KEEP]:
             self.fs.delete(self.path(f"{self.root}/manifest-{old:012d}.json"), False)

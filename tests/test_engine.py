@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import multiprocessing
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal as D
 
 import pytest
@@ -44,36 +46,37 @@ def fails(s, text, params=()) -> str:
     return e.value.sqlstate
 
 
-EMP = (
-    "CREATE TABLE EMP (ID INTEGER PRIMARY KEY, NAME VARCHAR(20), SAL DECIMAL(10,2), HIRE DATE)",
-    "INSERT INTO EMP VALUES (1, 'Ann', 5000, '2024-01-15'), (2, 'Bob', 7000.50, '2023-06-01'), (3, NULL, 6000, '2024-03-10'), (4, 'Ada', 7000.50, '2022-12-31')",
+BOAT = (
+    "CREATE TABLE BOAT (NR INTEGER PRIMARY KEY, LABEL VARCHAR(20), TONS DECIMAL(10,2), BUILT DATE, CREW INTEGER)",
+    "INSERT INTO BOAT VALUES (10, 'Tern', 12.25, '1998-04-02', 3), (20, 'Gull', 80, '2003-11-17', 9), (30, NULL, 12.25, '2011-07-30', NULL), (40, 'Skua', 45.20, '2003-11-17', 3), (50, 'Coot', 80, '2020-02-29', 7)",
 )
 
 
 def test_queries(s):
-    load(s, *EMP)
-    assert [r[0] for r in rows(s, "SELECT ID FROM EMP ORDER BY NAME, ID")] == [4, 1, 2, 3]
-    assert [r[0] for r in rows(s, "SELECT ID FROM EMP ORDER BY NAME DESC, ID")] == [3, 2, 1, 4]
-    assert [r[0] for r in rows(s, "SELECT ID FROM EMP ORDER BY NAME NULLS FIRST, ID")] == [3, 4, 1, 2]
-    assert rows(s, "SELECT DISTINCT SAL FROM EMP WHERE SAL > 6000") == [(D("7000.50"),)]
-    assert rows(s, "SELECT SUM(SAL), AVG(SAL), MIN(NAME), COUNT(NAME), COUNT(*) FROM EMP") == [(D("25001.00"), D("6250.250000"), "Ada", 3, 4)]
-    assert rows(s, "SELECT SAL, COUNT(*) AS N FROM EMP GROUP BY SAL HAVING COUNT(*) > 1") == [(D("7000.50"), 2)]
-    assert rows(s, "SELECT ID FROM EMP E WHERE SAL >= ALL (SELECT SAL FROM EMP) ORDER BY ID") == [(2,), (4,)]
-    assert rows(s, "SELECT ID FROM EMP E WHERE SAL = (SELECT MAX(SAL) FROM EMP X WHERE X.HIRE < E.HIRE) ORDER BY ID") == [(2,)]
-    assert one(s, "SELECT 'Zed' NOT IN (SELECT NAME FROM EMP)") is None
-    assert rows(s, "SELECT ID FROM EMP WHERE NOT (NAME IN (SELECT 'Ann' FROM DUAL)) OR ID = 1 ORDER BY ID") == [(1,), (2,), (4,)]
-    assert [c for c, _ in s.execute("SELECT ID, ID + 1, NAME X FROM EMP").columns] == ["ID", "COL2", "X"]
-    assert rows(s, "SELECT ID FROM EMP ORDER BY ID OFFSET 1 ROW FETCH NEXT ROW ONLY") == [(2,)]
-    assert rows(s, "SELECT ID FROM EMP WHERE NAME = ? AND HIRE >= ?", ("Ann", "2024-01-01")) == [(1,)]
-    assert fails(s, "SELECT ID FROM EMP WHERE ID = ?") == "07001"
-    assert fails(s, "SELECT NAME, COUNT(*) FROM EMP") == "42803"
-    assert fails(s, "SELECT ID FROM EMP WHERE COUNT(*) > 1") == "42803"
-    assert fails(s, "SELECT NOPE FROM EMP") == "42703" and fails(s, "SELECT 1 FROM NOPE") == "42P01"
-    assert fails(s, "SELECT E.ID FROM EMP E WHERE EMP.ID = 1") == "42703"
-    assert fails(s, "SELECT ID FROM EMP A, EMP B") == "42702" and fails(s, "SELECT 1 FROM EMP, EMP") == "42712"
-    assert fails(s, "SELECT ID FROM EMP UNION SELECT NAME FROM EMP") == "42804"
-    assert fails(s, "SELECT ID FROM EMP LIMIT 1 + 1") == "22023"
-    assert fails(s, "SELECT (SELECT ID FROM EMP)") == "21000" and fails(s, "SELECT (SELECT 1, 2)") == "21000"
+    load(s, *BOAT)
+    assert [r[0] for r in rows(s, "SELECT NR FROM BOAT ORDER BY LABEL, NR")] == [50, 20, 40, 10, 30]
+    assert [r[0] for r in rows(s, "SELECT NR FROM BOAT ORDER BY LABEL DESC, NR")] == [30, 10, 40, 20, 50]
+    assert [r[0] for r in rows(s, "SELECT NR FROM BOAT ORDER BY LABEL NULLS FIRST, NR")] == [30, 50, 20, 40, 10]
+    assert rows(s, "SELECT DISTINCT TONS FROM BOAT WHERE TONS > 50") == [(D("80.00"),)]
+    assert rows(s, "SELECT SUM(TONS), AVG(TONS), MIN(LABEL), COUNT(LABEL), COUNT(*), COUNT(DISTINCT CREW) FROM BOAT") == [(D("229.70"), D("45.940000"), "Coot", 4, 5, 3)]
+    assert rows(s, "SELECT TONS, COUNT(*) AS N FROM BOAT GROUP BY TONS HAVING COUNT(*) > 1 ORDER BY TONS") == [(D("12.25"), 2), (D("80.00"), 2)]
+    assert rows(s, "SELECT NR FROM BOAT B WHERE TONS >= ALL (SELECT TONS FROM BOAT) ORDER BY NR") == [(20,), (50,)]
+    assert rows(s, "SELECT NR FROM BOAT B WHERE TONS = (SELECT MAX(TONS) FROM BOAT X WHERE X.BUILT < B.BUILT) ORDER BY NR") == [(50,)]
+    assert rows(s, "SELECT NR FROM BOAT WHERE BUILT BETWEEN '2003-01-01' AND '2011-07-30' ORDER BY NR") == [(20,), (30,), (40,)]
+    assert one(s, "SELECT 'Wren' NOT IN (SELECT LABEL FROM BOAT)") is None
+    assert rows(s, "SELECT NR FROM BOAT WHERE NOT (LABEL IN (SELECT 'Tern' FROM DUAL)) OR NR = 10 ORDER BY NR") == [(10,), (20,), (40,), (50,)]
+    assert [c for c, _ in s.execute("SELECT NR, NR + 1, LABEL X FROM BOAT").columns] == ["NR", "COL2", "X"]
+    assert rows(s, "SELECT NR FROM BOAT ORDER BY NR OFFSET 1 ROW FETCH NEXT ROW ONLY") == [(20,)]
+    assert rows(s, "SELECT NR FROM BOAT WHERE LABEL = ? AND BUILT >= ?", ("Skua", "2003-01-01")) == [(40,)]
+    assert fails(s, "SELECT NR FROM BOAT WHERE NR = ?") == "07001"
+    assert fails(s, "SELECT LABEL, COUNT(*) FROM BOAT") == "42803"
+    assert fails(s, "SELECT NR FROM BOAT WHERE COUNT(*) > 1") == "42803"
+    assert fails(s, "SELECT NOPE FROM BOAT") == "42703" and fails(s, "SELECT 1 FROM NOPE") == "42P01"
+    assert fails(s, "SELECT B.NR FROM BOAT B WHERE BOAT.NR = 1") == "42703"
+    assert fails(s, "SELECT NR FROM BOAT A, BOAT B") == "42702" and fails(s, "SELECT 1 FROM BOAT, BOAT") == "42712"
+    assert fails(s, "SELECT NR FROM BOAT UNION SELECT LABEL FROM BOAT") == "42804"
+    assert fails(s, "SELECT NR FROM BOAT LIMIT 1 + 1") == "22023"
+    assert fails(s, "SELECT (SELECT NR FROM BOAT)") == "21000" and fails(s, "SELECT (SELECT 1, 2)") == "21000"
 
 
 def test_joins(s):
@@ -167,11 +170,67 @@ def test_referential_actions(s, action, after_delete, after_update):
 
 
 def test_vacuum_keeps_what_tables_hold(s, db):
-    load(s, *EMP, "BEGIN", "DELETE FROM EMP", "ROLLBACK", "UPDATE EMP SET SAL = 1 WHERE ID < 3")
+    load(s, *BOAT, "BEGIN", "DELETE FROM BOAT", "ROLLBACK", "UPDATE BOAT SET TONS = 1 WHERE NR < 30")
     for _ in range(6):
-        s.execute("INSERT INTO EMP (ID) SELECT MAX(ID) + 1 FROM EMP")
+        s.execute("INSERT INTO BOAT (NR) SELECT MAX(NR) + 1 FROM BOAT")
     assert db.store.vacuum() > 0 and db.store.vacuum() == 0
-    assert rows(s, "SELECT COUNT(*), SUM(SAL) FROM EMP") == [(10, D("13002.50"))]
+    assert rows(s, "SELECT COUNT(*), SUM(TONS) FROM BOAT") == [(11, D("139.45"))]
+
+
+def _claim(draft: str, final: str, won) -> None:
+    from larkspur.sources.store import claim_local
+
+    if claim_local(draft, final):
+        won.put(draft)
+
+
+def test_one_of_many_processes_makes_a_version(tmp_path):
+    made = multiprocessing.get_context("spawn")
+    won, drafts = made.Queue(), []
+    for k in range(6):
+        drafts.append(str(tmp_path / f"draft-{k}"))
+        (tmp_path / f"draft-{k}").write_text(str(k))
+    at = [made.Process(target=_claim, args=(d, str(tmp_path / "manifest"), won)) for d in drafts]
+    for x in at:
+        x.start()
+    for x in at:
+        x.join()
+    winner = won.get(timeout=10)
+    assert won.empty() and (tmp_path / "manifest").read_text() == winner[-1]
+
+
+def test_writers_of_one_version_conflict(spark, tmp_path):
+    from larkspur.sources.store import Store, new_manifest
+
+    stores = [Store(spark, f"file://{tmp_path}/db") for _ in range(4)]
+    for base in range(3):
+        with ThreadPoolExecutor(4) as pool:
+            outcome = list(pool.map(lambda x, base=base: _saved(x, base, new_manifest()), stores))
+        assert sorted(outcome) == sorted(["40001"] * 3 + [str(base + 1)])
+    assert stores[0].load()[0] == 3
+
+
+def _saved(store, base, manifest) -> str:
+    try:
+        return str(store.save(base, manifest))
+    except SqlError as e:
+        return e.sqlstate
+
+
+def test_rows_read_for_update_must_not_change(s, db):
+    load(s, *BOAT, "CREATE TABLE LOG (N INTEGER)")
+    other = db.connect(space="APP")
+    for change, state in (("UPDATE BOAT SET CREW = 1 WHERE NR = 10", "40001"), ("INSERT INTO LOG VALUES (0)", None)):
+        s.execute("BEGIN")
+        assert rows(s, "SELECT NR FROM BOAT WHERE NR = 20 FOR UPDATE") == [(20,)]
+        other.execute(change)
+        assert one(s, "SELECT CREW FROM BOAT WHERE NR = 10") in (1, 3)
+        s.execute("INSERT INTO LOG VALUES (1)") if state else s.execute("UPDATE BOAT SET CREW = 0 WHERE NR = 20")
+        if state:
+            assert fails(s, "COMMIT") == state
+        else:
+            s.execute("COMMIT")
+    assert rows(s, "SELECT CREW FROM BOAT WHERE NR < 30 ORDER BY NR") == [(1,), (0,)] and rows(s, "SELECT N FROM LOG") == [(0,)]
 
 
 def test_cascades_reach_a_fixpoint(s):
@@ -184,20 +243,20 @@ def test_cascades_reach_a_fixpoint(s):
 
 
 def test_transactions(s, db):
-    load(s, *EMP, "BEGIN", "DELETE FROM EMP WHERE ID = 1", "SAVEPOINT A", "UPDATE EMP SET SAL = 0", "SAVEPOINT B", "DELETE FROM EMP")
+    load(s, *BOAT, "BEGIN", "DELETE FROM BOAT WHERE NR = 10", "SAVEPOINT A", "UPDATE BOAT SET TONS = 0", "SAVEPOINT B", "DELETE FROM BOAT")
     other = db.connect(space="APP")
-    assert one(other, "SELECT COUNT(*) FROM EMP") == 4  # uncommitted changes are not seen
+    assert one(other, "SELECT COUNT(*) FROM BOAT") == 5  # uncommitted changes are not seen
     assert fails(s, "BEGIN") == "25001" and fails(s, "ROLLBACK TO NOPE") == "3B001"
     s.execute("ROLLBACK TO SAVEPOINT A")
-    assert rows(s, "SELECT COUNT(*), MIN(SAL) FROM EMP") == [(3, D("6000.00"))] and fails(s, "ROLLBACK TO B") == "3B001"
-    assert fails(s, "INSERT INTO EMP (ID) VALUES (2)") == "23505"  # a failed statement leaves the transaction open
-    other.execute("INSERT INTO EMP (ID) VALUES (7)")
+    assert rows(s, "SELECT COUNT(*), MIN(TONS) FROM BOAT") == [(4, D("12.25"))] and fails(s, "ROLLBACK TO B") == "3B001"
+    assert fails(s, "INSERT INTO BOAT (NR) VALUES (20)") == "23505"  # a failed statement leaves the transaction open
+    other.execute("INSERT INTO BOAT (NR) VALUES (7)")
     with pytest.raises(SqlError) as e:
         s.execute("COMMIT")
     assert e.value.sqlstate == "40001"
-    assert one(s, "SELECT COUNT(*) FROM EMP") == 5
-    load(s, "SET AUTOCOMMIT OFF", "DELETE FROM EMP", "ROLLBACK", "DELETE FROM EMP WHERE ID = 7", "COMMIT")
-    assert one(other, "SELECT COUNT(*) FROM EMP") == 4 and fails(other, "SAVEPOINT X") == "25P01"
+    assert one(s, "SELECT COUNT(*) FROM BOAT") == 6
+    load(s, "SET AUTOCOMMIT OFF", "DELETE FROM BOAT", "ROLLBACK", "DELETE FROM BOAT WHERE NR = 7", "COMMIT")
+    assert one(other, "SELECT COUNT(*) FROM BOAT") == 5 and fails(other, "SAVEPOINT X") == "25P01"
 
 
 def test_transactions_on_different_tables_both_commit(s, db):
@@ -215,48 +274,48 @@ def test_transactions_on_different_tables_both_commit(s, db):
 
 
 def test_views(s):
-    load(s, *EMP, "CREATE VIEW RICH (K, N, PAY, TWICE) AS SELECT ID, NAME, SAL, SAL * 2 FROM EMP WHERE SAL > 5500", "CREATE VIEW R2 AS SELECT * FROM RICH WHERE K < 4")
-    assert rows(s, "SELECT K, TWICE FROM R2 ORDER BY K") == [(2, D("14001.00")), (3, D("12000.00"))]
-    assert s.execute("UPDATE R2 SET PAY = PAY + 1").count == 2
-    assert s.execute("DELETE FROM R2 WHERE K = 1").count == 0 and s.execute("DELETE FROM R2 WHERE K = 2").count == 1
-    assert s.execute("INSERT INTO RICH (K, PAY) VALUES (8, 1)").count == 1
-    assert fails(s, "UPDATE RICH SET TWICE = 1") == "42P17"
-    load(s, "CREATE VIEW AGG AS SELECT COUNT(*) N FROM EMP")
-    assert fails(s, "DELETE FROM AGG") == "42P17" and fails(s, "CREATE OR REPLACE VIEW RICH AS SELECT * FROM R2") == "42P17"
-    assert fails(s, "ALTER TABLE EMP DROP COLUMN NAME") == "55006" and fails(s, "DROP TABLE EMP") == "55006"
-    s.execute("DROP TABLE EMP CASCADE")
+    load(s, *BOAT, "CREATE VIEW HEAVY (K, N, LOAD, TWICE) AS SELECT NR, LABEL, TONS, TONS * 2 FROM BOAT WHERE TONS > 40", "CREATE VIEW H2 AS SELECT * FROM HEAVY WHERE K < 45")
+    assert rows(s, "SELECT K, TWICE FROM H2 ORDER BY K") == [(20, D("160.00")), (40, D("90.40"))]
+    assert s.execute("UPDATE H2 SET LOAD = LOAD + 1").count == 2
+    assert s.execute("DELETE FROM H2 WHERE K = 10").count == 0 and s.execute("DELETE FROM H2 WHERE K = 20").count == 1
+    assert s.execute("INSERT INTO HEAVY (K, LOAD) VALUES (8, 1)").count == 1
+    assert fails(s, "UPDATE HEAVY SET TWICE = 1") == "42P17"
+    load(s, "CREATE VIEW AGG AS SELECT COUNT(*) N FROM BOAT")
+    assert fails(s, "DELETE FROM AGG") == "42P17" and fails(s, "CREATE OR REPLACE VIEW HEAVY AS SELECT * FROM H2") == "42P17"
+    assert fails(s, "ALTER TABLE BOAT DROP COLUMN LABEL") == "55006" and fails(s, "DROP TABLE BOAT") == "55006"
+    s.execute("DROP TABLE BOAT CASCADE")
     assert rows(s, "SELECT * FROM SYS_VIEWS") == []
 
 
 def test_alter_table_and_dictionary(s):
-    load(s, *EMP, "ALTER TABLE EMP ADD COLUMN NOTE VARCHAR(5) DEFAULT 'q' NOT NULL", "ALTER TABLE EMP RENAME COLUMN NOTE TO MEMO", "ALTER TABLE EMP ALTER MEMO DROP DEFAULT", "CREATE INDEX ON EMP (NAME DESC, ID)")
-    assert rows(s, "SELECT ID, MEMO FROM EMP ORDER BY ID") == [(i, "q") for i in range(1, 5)]
-    assert fails(s, "INSERT INTO EMP (ID) VALUES (5)") == "23502" and fails(s, "ALTER TABLE EMP ALTER NAME SET NOT NULL") == "23502" and fails(s, "ALTER TABLE EMP DROP COLUMN ID") == "55006"
-    load(s, "ALTER TABLE EMP DROP COLUMN MEMO", "ALTER TABLE EMP RENAME TO STAFF")
-    assert rows(s, "SELECT COLUMN_NAME, DATA_TYPE, IS_NULLABLE FROM SYS_COLUMNS WHERE TABLE_NAME = 'STAFF' ORDER BY ORDINAL_POSITION") == [("ID", "INTEGER", "NO"), ("NAME", "VARCHAR(20)", "YES"), ("SAL", "DECIMAL(10,2)", "YES"), ("HIRE", "DATE", "YES")]
-    assert rows(s, "SELECT INDEX_NAME, COLUMN_NAME, IS_DESCENDING FROM SYS_INDEX_COLUMNS ORDER BY 1, INDEX_NAME, ORDINAL_POSITION") == [("IX_EMP_1", "NAME", "YES"), ("IX_EMP_1", "ID", "NO"), ("PK_EMP", "ID", "NO")]
-    assert fails(s, "DELETE FROM DUAL") == "42809" and fails(s, "DROP TABLE SYS_USERS") == "42809" and fails(s, "CREATE TABLE STAFF (A INT)") == "42P07" and fails(s, "DROP INDEX NOPE") == "42704"
+    load(s, *BOAT, "ALTER TABLE BOAT ADD COLUMN NOTE VARCHAR(5) DEFAULT 'q' NOT NULL", "ALTER TABLE BOAT RENAME COLUMN NOTE TO MEMO", "ALTER TABLE BOAT ALTER MEMO DROP DEFAULT", "CREATE INDEX ON BOAT (LABEL DESC, NR)")
+    assert rows(s, "SELECT NR, MEMO FROM BOAT ORDER BY NR") == [(i, "q") for i in range(10, 51, 10)]
+    assert fails(s, "INSERT INTO BOAT (NR) VALUES (5)") == "23502" and fails(s, "ALTER TABLE BOAT ALTER LABEL SET NOT NULL") == "23502" and fails(s, "ALTER TABLE BOAT DROP COLUMN NR") == "55006"
+    load(s, "ALTER TABLE BOAT DROP COLUMN MEMO", "ALTER TABLE BOAT RENAME TO FLEET")
+    assert rows(s, "SELECT COLUMN_NAME, DATA_TYPE, IS_NULLABLE FROM SYS_COLUMNS WHERE TABLE_NAME = 'FLEET' ORDER BY ORDINAL_POSITION") == [("NR", "INTEGER", "NO"), ("LABEL", "VARCHAR(20)", "YES"), ("TONS", "DECIMAL(10,2)", "YES"), ("BUILT", "DATE", "YES"), ("CREW", "INTEGER", "YES")]
+    assert rows(s, "SELECT INDEX_NAME, COLUMN_NAME, IS_DESCENDING FROM SYS_INDEX_COLUMNS ORDER BY 1, INDEX_NAME, ORDINAL_POSITION") == [("IX_BOAT_1", "LABEL", "YES"), ("IX_BOAT_1", "NR", "NO"), ("PK_BOAT", "NR", "NO")]
+    assert fails(s, "DELETE FROM DUAL") == "42809" and fails(s, "DROP TABLE SYS_USERS") == "42809" and fails(s, "CREATE TABLE FLEET (A INT)") == "42P07" and fails(s, "DROP INDEX NOPE") == "42704"
     assert one(s, "SELECT COUNT(*) FROM SYS_TABLESPACES") == 2 and fails(s, "DROP TABLESPACE APP") == "55006"
     s.execute("DROP TABLESPACE APP INCLUDING CONTENTS")
-    assert fails(s, "SELECT * FROM STAFF") == "3F000"
+    assert fails(s, "SELECT * FROM FLEET") == "3F000"
 
 
 def test_privileges(s, db):
-    load(s, *EMP, "CREATE USER BOB IDENTIFIED BY 'pw' DEFAULT TABLESPACE APP", "CREATE VIEW V AS SELECT ID, SAL FROM EMP WHERE ID < 3", "GRANT UPDATE, SELECT ON V TO BOB")
+    load(s, *BOAT, "CREATE USER BOB IDENTIFIED BY 'pw' DEFAULT TABLESPACE APP", "CREATE VIEW V AS SELECT NR, TONS FROM BOAT WHERE NR < 25", "GRANT UPDATE, SELECT ON V TO BOB")
     with pytest.raises(SqlError) as e:
         db.connect("BOB", "wrong")
     assert e.value.sqlstate == "28000"
     bob = db.connect("BOB", "pw")
-    assert fails(bob, "SELECT * FROM EMP") == "42501" and bob.execute("UPDATE V SET SAL = 1").count == 2  # a view's privilege covers its base
-    assert fails(bob, "CREATE TABLE T (A INT)") == "42501" and fails(bob, "GRANT SELECT ON EMP TO BOB") == "42501" and fails(bob, "CREATE USER X IDENTIFIED BY 'x'") == "42501"
+    assert fails(bob, "SELECT * FROM BOAT") == "42501" and bob.execute("UPDATE V SET TONS = 1").count == 2  # a view's privilege covers its base
+    assert fails(bob, "CREATE TABLE T (A INT)") == "42501" and fails(bob, "GRANT SELECT ON BOAT TO BOB") == "42501" and fails(bob, "CREATE USER X IDENTIFIED BY 'x'") == "42501"
     assert rows(bob, "SELECT TABLE_NAME FROM SYS_TABLES") == []
-    load(s, "GRANT CREATE ON TABLESPACE APP TO BOB", "GRANT SELECT ON EMP TO BOB")
-    load(bob, "CREATE TABLE OWN (A INT)", "INSERT INTO OWN SELECT ID FROM EMP", "CREATE VIEW W AS SELECT ID FROM EMP")
-    assert one(bob, "SELECT COUNT(*) FROM W") == 4
-    s.execute("REVOKE SELECT ON EMP FROM BOB")
+    load(s, "GRANT CREATE ON TABLESPACE APP TO BOB", "GRANT SELECT ON BOAT TO BOB")
+    load(bob, "CREATE TABLE OWN (A INT)", "INSERT INTO OWN SELECT NR FROM BOAT", "CREATE VIEW W AS SELECT NR FROM BOAT")
+    assert one(bob, "SELECT COUNT(*) FROM W") == 5
+    s.execute("REVOKE SELECT ON BOAT FROM BOB")
     assert fails(bob, "SELECT * FROM W") == "42501"
     s.execute("GRANT OFFICER TO BOB")
-    assert one(bob, "SELECT COUNT(*) FROM EMP") == 4 and fails(s, "GRANT CREATE ON EMP TO BOB") == "0LP01" and fails(s, "DROP USER BOB") == "55006"
+    assert one(bob, "SELECT COUNT(*) FROM BOAT") == 5 and fails(s, "GRANT CREATE ON BOAT TO BOB") == "0LP01" and fails(s, "DROP USER BOB") == "55006"
     s.execute("DROP USER BOB CASCADE")
     assert rows(s, "SELECT USER_NAME FROM SYS_USERS") == [("SYSTEM",)]
 

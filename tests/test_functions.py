@@ -27,6 +27,5 @@ def test_frames(spark):
     assert sorted(map(str, frames.join_using(a, b, ["k"], "full").collect())) == sorted(["Row(k=1, v='a', w=None)", "Row(k=2, v='b', w='x')", "Row(k=3, v=None, w='y')", "Row(k=None, v='n', w=None)"])
     assert [r.k for r in frames.not_in(a, "k", b, "k").collect()] == [1]
     assert frames.not_in(a, "k", a, "k").count() == 0 and frames.not_in(a, "k", b.limit(0), "k").count() == 3
-    assert [r.k for r in frames.any_match(a, b, a.k == b.k).collect()] == [2] and [r.k for r in frames.all_match(a, b, a.k < b.k).collect()] == [1]
     assert [r.k for r in frames.top(a, 2, ("k", True)).collect()] == [None, 2]
     assert frames.duplicate_keys(a.union(a), "k").count() == 3 and [r.k for r in frames.orphans(a, ["k"], b, ["k"]).collect()] == [1]
