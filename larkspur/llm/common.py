@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a folder of our own is made."""
+    Only where that is unset and all run on one machine (tests) a folder of our own is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -954,6 +954,75 @@ def test_pipeline_stages_take_odd_rows(spark):
 ORDER = ["language ID", "SimHash near-dedup", "benchmark decontamination", "mixing to target weights"]
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from larkspur.llm.common import scratch_root
+    from larkspur.sources.store import scratch_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    for find in (scratch_root, scratch_folder):
+        with pytest.raises(Exception, match="must name a folder"):
+            find(session)
+
+
+def plain_decode(model, x):
+    """Bit by bit: the codeword with the least loss, each bit's loss weighted by how far it is trusted."""
+    loss = {}
+    for lang, word in zip(model.langs, model.code.tolist(), strict=True):
+        loss[lang] = sum(t * np.log1p(np.exp(-c * (float(w @ x) + float(b)))) for c, w, b, t in zip(word, model.weights.astype(float), model.bias, model.trust.astype(float), strict=True))
+    share = {lang: np.exp(-v) for lang, v in loss.items()}
+    ranked = sorted(share, key=lambda v: (-share[v], model.langs.index(v)))
+    return ranked[0], share[ranked[0]] / sum(share.values()), (share[ranked[0]] - share[ranked[1]]) / sum(share.values())
+
+
+def test_decoding_equals_the_plain_decoder():
+    rng = np.random.default_rng(71)
+    langs = [f"l{i}" for i in range(5)]
+    code = language_id.codewords(5)
+    bits, dims = code.shape[1], 40
+    model = language_id.Model(langs, code, rng.normal(size=(bits, dims)).astype(np.float32), rng.normal(size=bits).astype(np.float32), rng.uniform(0.05, 1, bits).astype(np.float32))
+    for _ in range(200):
+        x = rng.normal(size=dims).astype(np.float32) / 6
+        lang, score, lead = model.decode(x)
+        want = plain_decode(model, x)
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-4) and lead == pytest.approx(want[2], abs=1e-4)
+    # bits that contradict each other: what trusted bits say wins, and codewords at equal loss are flagged by a lead of nothing
+    flat = language_id.Model(langs, code, np.zeros((bits, dims), np.float32), np.zeros(bits, np.float32), np.ones(bits, np.float32))
+    assert flat.decode(np.ones(dims, np.float32)) == ("l0", pytest.approx(0.2), pytest.approx(0.0))
+    sure = language_id.Model(langs, code, np.zeros((bits, dims), np.float32), 9 * code[3].astype(np.float32), np.ones(bits, np.float32))
+    assert sure.decode(np.ones(dims, np.float32))[0] == "l3"
+    sure.bias[0] *= -1  # one wrong bit is corrected
+    assert sure.decode(np.ones(dims, np.float32))[0] == "l3"
+
+
+def test_repeated_rows_and_ties_of_languages(spark):
+    rows = [(i % 40, "the cat sat on the mat", "en" if i % 2 else "fr", "s", 1) for i in range(80)]
+    got = language_id.identify(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 80 and len({(r.lang_pred, r.score, r.ambiguous) for r in got}) == 1 and got[0].ambiguous
+
+
+def test_tokens_of_long_texts_and_clashing_columns(spark, tmp_path):
+    long = long_text(81, 60_000)
+    docs = spark.createDataFrame([(1, long, "x"), (2, "a", "y")], "doc_id long, text string, ordinal string").withColumn("file", F.lit("clash"))
+    manifest = token_counts.write_tokens(docs, f"file://{tmp_path}/t")
+    got = {r.doc_id: r.n_tokens for r in token_counts.scan(spark, f"file://{tmp_path}/t", block_tokens=1000).join(manifest, ["file", "ordinal"]).collect()}
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encode = token_counts.encoder(f.read()).encode_ordinary
+    assert got == {1: len(encode(long)), 2: len(encode("a"))}
+
+
+@needs_data
+def test_stages_take_very_long_texts(spark):
+    import corpus_pipeline
+
+    long = long_text(91, 150_000)
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " tail", "en", "a", 1), (3, long_text(92, 200), "fr", "b", 1)], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = {r.doc_id for r in stage(spark, docs, SF).collect()}
+        assert kept == ({1, 3} if name == "SimHash near-dedup" else {1, 2, 3}), name
+
+
 def test_no_local_checkpoint():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for d, _, names in os.walk(os.path.join(here, "larkspur")):
