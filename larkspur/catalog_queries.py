@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.errors import SqlError
 from larkspur.session import Database
 from larkspur.sources.store import scratch_folder
 
@@ -34,22 +35,38 @@ def run_dialect(spark: SparkSession, sf_dir: str, text: str, params=(), zone: st
         db.detach()
 
 
-def run_scenario(spark: SparkSession, sf_dir: str, statements: list[str], text: str) -> DataFrame:
-    """Statements in a new database beside the Parquet tables of a folder (tablespace SF), then a query."""
+def run_scenario(spark: SparkSession, sf_dir: str, statements: list, text: str) -> DataFrame:
+    """Statements in a new database beside the Parquet tables of a folder (tablespace SF), then a query.
+
+    A statement (text, state) must be refused with that SQLSTATE; (text, state, user) is run by that user, whose password is `pw`."""
+    statements = [x if isinstance(x, tuple) else (x, None) for x in statements]
     db = Database(spark, scratch_folder(spark))
-    words = set(re.findall(r"\bSF\.(\w+)", " ".join([*statements, text]).upper()))
+    words = set(re.findall(r"\bSF\.(\w+)", " ".join([*(x[0] for x in statements), text]).upper()))
     db.attach("SF", {t: spark.read.parquet(f"{sf_dir}/{t.lower()}.parquet") for t in TABLES if t in words})
     session = db.connect()
     try:
-        for statement in ["CREATE TABLESPACE APP", "USE APP", *statements]:
-            session.execute(statement)
+        for statement, refused, *user in [("CREATE TABLESPACE APP", None), ("USE APP", None), *statements]:
+            own = db.connect(user[0], "pw") if user else session
+            try:
+                got = own.execute(statement)
+                if refused:
+                    got.rows()
+            except SqlError as e:
+                if e.sqlstate != refused:
+                    raise
+            else:
+                if refused:
+                    raise AssertionError(f"not refused with {refused}: {statement}")
+            finally:
+                if user:
+                    own.close()
         return session.query(text)
     finally:
         session.close()
         db.detach()
 
 
-def scenario(name: str, statements: list[str], text: str, oracle: str) -> None:
+def scenario(name: str, statements: list, text: str, oracle: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: run_scenario(spark, sf_dir, statements, text)
     ORACLE_SQL[name] = oracle
 
@@ -113,6 +130,7 @@ same("j1_theta_join", "SELECT a.n_nationkey AS \"a\", b.n_nationkey AS \"b\" FRO
 same("j2_left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 150000")
 same("j3_right_join", "SELECT n.n_name, s.s_suppkey FROM supplier s RIGHT OUTER JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000")
 same("j4_full_join", "SELECT a.n_nationkey AS \"a\", b.s_suppkey AS \"b\" FROM nation a FULL JOIN supplier b ON a.n_nationkey = b.s_suppkey")
+same("j4_full_theta", "SELECT a.n_nationkey AS \"a\", b.r_regionkey AS \"b\" FROM nation a FULL JOIN region b ON a.n_nationkey < b.r_regionkey")
 same("j5_cross_join", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 same("j6_comma_join", "SELECT s.s_name, n.n_name, r.r_name FROM supplier s, nation n, region r WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey")
 both("j7_using", "SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)", 'SELECT k AS "k", n_name AS "n_name", s_name AS "s_name" FROM (SELECT n_nationkey AS k, n_name FROM nation) a JOIN (SELECT s_nationkey AS k, s_name FROM supplier) b USING (k)')
@@ -197,6 +215,8 @@ same("q4_any_of_all_rows", "SELECT o_orderkey FROM orders WHERE o_totalprice <=
 same("q5_all_of_all_rows", "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_suppkey < 20) AND c_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_custkey < ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90)")
 same("q45_as_values", "SELECT n_nationkey, n_regionkey = ANY (SELECT NULLIF(r_regionkey, 2) FROM region) AS \"a\", n_regionkey <> ALL (SELECT NULLIF(r_regionkey, 2) FROM region) AS \"b\", n_regionkey >= ALL (SELECT r_regionkey FROM region) AS \"c\", n_regionkey < ANY (SELECT NULLIF(r_regionkey, 4) FROM region) AS \"d\", n_regionkey = ALL (SELECT 1 FROM region) AS \"e\", n_regionkey <> ANY (SELECT NULLIF(1, 2) FROM region) AS \"f\" FROM nation")
 
+same("p4_name_resolution", 'SELECT n.n_name AS "a", "N"."N_NATIONKEY" AS "b", n_regionkey AS "c" FROM nation n WHERE EXISTS (SELECT 1 FROM region n WHERE n.r_regionkey = n_regionkey AND n.r_regionkey > 1)')
+
 # 2.1 views, overlays and dictionary, 2.10 DML, 2.11 DDL, 2.12 transactions
 
 _NATION = ["CREATE TABLE REG (K INTEGER PRIMARY KEY, NAME VARCHAR(30) NOT NULL)", "CREATE TABLE NAT (K INTEGER PRIMARY KEY, NAME VARCHAR(30), R INTEGER REFERENCES REG ON DELETE {d} ON UPDATE {u}, N DECIMAL(10,2) DEFAULT 1.5)", "INSERT INTO REG SELECT r_regionkey, r_name FROM SF.region", "INSERT INTO NAT (K, NAME, R) SELECT n_nationkey, n_name, n_regionkey FROM SF.nation"]
@@ -223,3 +243,17 @@ scenario("m9_set_null", [*_nation("SET NULL", "SET NULL"), "DELETE FROM REG WHER
 scenario("d2_alter_table", [*_nation(), "ALTER TABLE NAT ADD COLUMN X VARCHAR(5) DEFAULT 'q' NOT NULL", "ALTER TABLE NAT DROP COLUMN NAME", "ALTER TABLE NAT RENAME COLUMN N TO M", "ALTER TABLE NAT RENAME TO LAND", "INSERT INTO LAND (K, M) VALUES (50, 2)"], 'SELECT K AS "k", R AS "r", M AS "m", X AS "x" FROM LAND', f"SELECT k, r, n AS m, 'q' AS x FROM ({_BASE}) UNION ALL SELECT 50, NULL, 2, 'q'")
 scenario("t2_savepoints", [*_nation(), "BEGIN", "DELETE FROM NAT WHERE K > 20", "SAVEPOINT A", "UPDATE NAT SET N = 0", "ROLLBACK TO A", "INSERT INTO NAT (K) VALUES (60)", "COMMIT", "BEGIN", "DELETE FROM NAT", "ROLLBACK"], _ALL, f"SELECT * FROM ({_BASE}) WHERE k <= 20 UNION ALL SELECT 60, NULL, NULL, 1.5")
 scenario("t3_autocommit_off", [*_nation(), "SET AUTOCOMMIT OFF", "DELETE FROM NAT WHERE K = 1", "COMMIT", "DELETE FROM NAT", "ROLLBACK", "SET AUTOCOMMIT ON"], _ALL, f"SELECT * FROM ({_BASE}) WHERE k <> 1")
+scenario("s5_foreign_key_lookup", _nation(), 'SELECT C.K AS "k", P.NAME AS "p" FROM NAT C JOIN REG P ON P.K = C.R WHERE C.R = 2', "SELECT n_nationkey AS k, r_name AS p FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey = 2")
+scenario("m3_default_values", ["CREATE TABLE T (A INTEGER DEFAULT 7, B VARCHAR(5) DEFAULT 'd', C DATE)", "INSERT INTO T DEFAULT VALUES", "INSERT INTO T DEFAULT VALUES"], 'SELECT A AS "a", B AS "b", C AS "c" FROM T', "SELECT 7 AS a, 'd' AS b, CAST(NULL AS DATE) AS c FROM range(2)")
+scenario("m8_constraints", [*_nation(), ("INSERT INTO REG VALUES (1, 'again')", "23505"), ("INSERT INTO REG VALUES (77, NULL)", "23502"), ("INSERT INTO NAT (K, R) VALUES (99, 99)", "23503"), ("UPDATE REG SET NAME = NULL", "23502"), ("UPDATE NAT SET K = 1", "23505"), ("UPDATE NAT SET R = 99 WHERE K = 3", "23503")], _ALL, _BASE)
+scenario("m9_no_action", [*_nation(), ("DELETE FROM REG WHERE K = 2", "23503"), ("UPDATE REG SET K = K + 100 WHERE K > 2", "23503"), "DELETE FROM NAT WHERE R = 2", "DELETE FROM REG WHERE K = 2"], _ALL, f"SELECT * FROM ({_BASE}) WHERE r <> 2")
+scenario("m9_restrict", [*_nation("RESTRICT", "RESTRICT"), ("DELETE FROM REG", "23503"), ("UPDATE REG SET K = K + 100 WHERE K = 0", "23503"), "INSERT INTO REG VALUES (50, 'x')", "UPDATE REG SET K = 51 WHERE K = 50", "INSERT INTO NAT (K, R) VALUES (60, 51)"], _ALL, f"SELECT * FROM ({_BASE}) UNION ALL SELECT 60, NULL, 51, 1.5")
+scenario("m10_rejected", [*_nation(), *((t, "0A000") for t in ("MERGE INTO NAT USING REG ON NAT.R = REG.K WHEN MATCHED THEN DELETE", "DELETE FROM NAT WHERE K = 1 RETURNING K", "INSERT INTO REG VALUES (9, 'n') ON CONFLICT DO NOTHING", "SELECT K FROM NAT INTERSECT ALL SELECT K FROM REG"))], _ALL, _BASE)
+scenario("d3_drop_table", [*_nation(), "CREATE TABLE T (A INTEGER)", ("DROP TABLE REG", "55006"), "DROP TABLE T", ("SELECT * FROM T", "42P01"), "DROP TABLE REG CASCADE", "INSERT INTO NAT (K, R) VALUES (99, 99)"], _ALL, f"SELECT * FROM ({_BASE}) UNION ALL SELECT 99, NULL, 99, 1.5")
+scenario("d7_users", ["CREATE USER BOB IDENTIFIED BY 'pw' DEFAULT TABLESPACE APP", "CREATE USER EVE IDENTIFIED BY 'pw'", ("CREATE USER BOB IDENTIFIED BY 'x'", "42710"), ("CREATE USER ZOE IDENTIFIED BY 'x'", "42501", "EVE"), "DROP USER EVE"], 'SELECT USER_NAME AS "u" FROM SYS_USERS', "SELECT * FROM (VALUES ('SYSTEM'), ('BOB')) v (u)")
+scenario("t4_statement_atomicity", [*_nation(), "BEGIN", "UPDATE NAT SET N = 0 WHERE K < 5", ("INSERT INTO NAT (K) SELECT K + 20 FROM NAT", "23505"), "COMMIT"], _ALL, f"SELECT k, name, r, CAST(CASE WHEN k < 5 THEN 0 ELSE n END AS DECIMAL(10,2)) AS n FROM ({_BASE})")
+scenario("t6_ddl_commits", [*_nation(), "BEGIN", "DELETE FROM NAT WHERE K > 20", "CREATE TABLE Z (A INTEGER)", "ROLLBACK"], _ALL, f"SELECT * FROM ({_BASE}) WHERE k <= 20")
+scenario("t7_use_and_time_zone", ["CREATE TABLESPACE OTHER", "USE OTHER", "CREATE TABLE T (A INTEGER)", "INSERT INTO T VALUES (1)", "USE APP", "CREATE TABLE T (A INTEGER)", "INSERT INTO T VALUES (2)", "SET TIME ZONE '+05:30'"], 'SELECT X.A AS "a", O.A AS "b", EXTRACT(TIMEZONE_MINUTE FROM CURRENT_TIMESTAMP) AS "m" FROM T X, OTHER.T O', "SELECT 2 AS a, 1 AS b, 30 AS m")
+scenario("t10_privileges", [*_nation(), "CREATE USER BOB IDENTIFIED BY 'pw' DEFAULT TABLESPACE APP", "GRANT SELECT, UPDATE ON NAT TO BOB", ("UPDATE NAT SET N = 9 WHERE K = 1", None, "BOB"), ("DELETE FROM NAT", "42501", "BOB"), ("SELECT * FROM REG", "42501", "BOB"), "REVOKE UPDATE ON NAT FROM BOB", ("UPDATE NAT SET N = 0", "42501", "BOB")], _ALL, f"SELECT k, name, r, CAST(CASE WHEN k = 1 THEN 9 ELSE n END AS DECIMAL(10,2)) AS n FROM ({_BASE})")
+scenario("j12_rejected", [("SELECT 1 FROM SF.nation NATURAL JOIN SF.region", "0A000"), ("SELECT 1 FROM SF.nation, LATERAL (SELECT 1 FROM DUAL) x", "0A000")], 'SELECT 1 AS "n" FROM DUAL', "SELECT 1 AS n")
+scenario("a13_rejected", [(f"SELECT n_regionkey FROM SF.nation GROUP BY {g}", "0A000") for g in ("ROLLUP (n_regionkey)", "CUBE (n_regionkey)", "GROUPING SETS ((n_regionkey), ())")], 'SELECT 1 AS "n" FROM DUAL', "SELECT 1 AS n")
