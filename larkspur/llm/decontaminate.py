@@ -15,7 +15,7 @@ without an answer column is split before its last sentence; one of a single sent
 
 The longest item, the number and mean length of items and every word's document frequency are taken over the
 whole benchmark, by one tokeniser. The index is cut into parts of about `block_bytes` of item text, which are files in the
-shared folder. A task holds one part at a time and searches each batch of documents in all parts in turn, so
+shared folder. A task holds one part at a time, and the words of `SLICE_BYTES` of text, which it searches in all parts in turn, so
 neither memory nor results depend on `block_bytes`, and the documents are read once.
 
 Defined results: null or empty document or item texts match nothing; items without a word are never
@@ -42,6 +42,8 @@ from larkspur.llm.shared_files import make, opened, publish
 K1, B = 1.2, 0.75
 BLOCK = 8
 EPS = 1e-9
+#: Text whose words a task holds at a time (one document at least).
+SLICE_BYTES = 1 << 20
 _TOKEN = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -261,6 +263,26 @@ def _parts(benchmark: DataFrame, options: dict) -> list[str]:
     return paths
 
 
+def _found(texts: pa.Array, paths: list[str], least: float, overlap: float, first_only: bool = False):
+    """(place in `texts`, id of the item, passage, score, overlaps) of every match; with `first_only` nothing is looked for in a text once it has one."""
+    lo, n = 0, len(texts)
+    while lo < n:
+        held, size = [], 0
+        while lo + len(held) < n and (not held or size < SLICE_BYTES):
+            text = texts[lo + len(held)].as_py()
+            size += len(text or "")
+            held.append(words(text))
+        for path in paths:
+            ix = _part(path)
+            for i, ws in enumerate(held):
+                for hit in ix.matches(ws, least, overlap):
+                    yield lo + i, ix.items.ids[hit[0]], *hit[1:]
+                    if first_only:
+                        held[i] = []
+                        break
+        lo += len(held)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, overlap: float = 0.5, **options) -> DataFrame:
     """(doc_id, item_id, passage, score, question_overlap, answer_overlap) for every verified pair."""
     paths = _parts(benchmark, options)
@@ -269,14 +291,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, over
 
     def run(batches):
         for batch in batches:
-            texts = [words(t.as_py()) for t in batch.column(1)]
-            row, hits = [], []
-            for path in paths:
-                ix = _part(path)
-                for i, ws in enumerate(texts):
-                    for hit in ix.matches(ws, least, overlap):
-                        row.append(i), hits.append((ix.items.ids[hit[0]], *hit[1:]))
-            cols = list(zip(*hits, strict=True)) if hits else [[]] * 5
+            row, *cols = list(zip(*_found(batch.column(1), paths, least, overlap), strict=True)) or [[]] * 6
             yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"])
 
     doc = docs.schema["doc_id"].dataType.simpleString()
@@ -289,12 +304,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, overla
 
     def run(batches):
         for batch in batches:
-            texts = [words(t.as_py()) for t in batch.column(place)]
-            clean = [True] * len(texts)
-            for path in paths:
-                ix = _part(path)
-                clean = [c and not ix.matches(ws, least, overlap) for c, ws in zip(clean, texts, strict=True)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            clean = np.ones(batch.num_rows, bool)
+            clean[[i for i, *_ in _found(batch.column(place), paths, least, overlap, first_only=True)]] = False
+            yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
 
