@@ -6,8 +6,8 @@ SHA-1, at `min_bytes` or more) become revisit records without the payload, which
 response; the response is the one with the least page_id.
 
 `merge_runs` deals the runs' index rows out by ranges of (URL key, time, offset), so that one hot URL
-is split by time, and merges each range's runs with a loser tree: k sorted lists, log2(k) comparisons a
-row. Ranges follow one another, so the result is in global order; `part` and `place` tell it.
+is split by time, reads each run's share of a range in the order of its index, and merges the shares with a loser tree: k sorted
+lists, log2(k) comparisons a row. Ranges follow one another, so the result is in global order; `part` and `place` tell it.
 
 `read_archives` reads the records back by their index rows, archive by archive, and takes everything from the record: the payload's size
 from the HTTP header, its digest from the WARC header (checked against the payload of responses).
@@ -183,20 +183,17 @@ class LoserTree:
 def merge_runs(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
     """All index rows in global order by (url_key, stamp, file, offset): adds part (range) and place (in the range)."""
     parts = max(1, -(-runs.count() // range_rows))
-    dealt = runs.repartitionByRange(parts, "url_key", "stamp", "file", "offset")
+    # within a range each run's rows follow its own index, which is in order, so they come as the sorted lists that the tree merges
+    dealt = runs.repartitionByRange(parts, "url_key", "stamp", "file", "offset").sortWithinPartitions("run", "seq")
 
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            # a range's rows of one run come in any number of pieces; seq is their order in the run
             for r, *row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
                 held.setdefault(r, []).append(tuple(row))
         if not held:
             return
         me = TaskContext.get().partitionId()
-        for rows in held.values():
-            if any(a > b for a, b in zip(rows, rows[1:], strict=False)):
-                rows.sort()  # pieces of a run may arrive in another order than they were written
         merged = list(LoserTree([held[r] for r in sorted(held)]))
         for lo in range(0, len(merged), 10_000):
             cols = list(zip(*merged[lo : lo + 10_000], strict=True))
