@@ -1,8 +1,9 @@
 """INSERT, UPDATE and DELETE as new versions of tables, with constraints and referential actions.
 
 Values are computed on the state before the statement. Changed rows are found and written by
-DataFrame jobs; only segments that hold changed rows are written anew. Constraints are checked on the
-final state with aggregates and anti-joins that stop at the first offence. Removed or moved parent
+DataFrame jobs; only segments that hold changed rows are written anew. Each new segment is measured in
+one pass, which answers NOT NULL and tells the ranges of its keys; primary and foreign keys are checked
+with aggregates and anti-joins against the segments whose ranges meet them. Removed or moved parent
 keys go through a work list until no child changes any more.
 """
 
@@ -19,7 +20,7 @@ from larkspur.errors import SqlError
 from larkspur.functions import rules as R
 from larkspur.plans.binder import AGGREGATES, Binder, Expr, Field, Scope, Source, tick
 from larkspur.sources import dictionary
-from larkspur.sources.store import SEGMENT, type_of
+from larkspur.sources.store import SEGMENT, hold, overlapping, type_of
 
 PLACE = ["__file", "__row"]
 
@@ -140,15 +141,17 @@ def insert(session, n: Node, params: list) -> int:
             selects.append("SELECT " + ", ".join([f"{v} AS `{c['id']}`" for c, v in zip(columns, own, strict=True)] + [f"{v} AS `{c['id']}`" for c, v in rest]))
         rows = session.spark.sql(" UNION ALL ".join(selects)).coalesce(1)
     rows = rows.select(*[c["id"] for c in t.table["columns"]])
-    segment = session.db.store.write(rows)
-    added = session.db.store.read(t.table, [segment])
-    count = added.count()
-    if count:
-        check_rows(session, t.space, t.name, added, old=session.db.store.read(t.table))
-        t.table["segments"] = [*t.table["segments"], segment]
+    store = session.db.store
+    segment = store.write(rows)
+    added = store.read(t.table, [segment])
+    facts = store.measure(added, t.table, key_columns(t.table))
+    if facts["rows"]:
+        check_rows(session, t.space, t.name, added, facts, added_only=True)
+        hold(t.table, [*t.table["segments"], segment], {segment: facts})
         for fk in t.table["fks"]:
-            check_child(session, t.space, t.name, fk, added)
-    return count
+            check_child(session, t.space, t.name, fk, added, facts["ranges"])
+        store.compact(t.table)
+    return facts["rows"]
 
 
 # finding and changing rows
@@ -222,18 +225,21 @@ def change(session, space: str, name: str, hits: DataFrame, ids: set[str] | None
     new = None
     if ids is not None:
         new = hits.select(*[F.col(f"n_{c}" if c in ids else c).alias(c) for c in columns])
-    segments = [store.write(left)] + ([store.write(new)] if new is not None else [])
+    measured = {}
+    for rows in [left] if new is None else [left, new]:
+        segment = store.write(rows)
+        measured[segment] = facts = store.measure(store.read(table, [segment]), table, key_columns(table))
     if new is not None:
-        new = store.read(table, [segments[-1]])
-    table["segments"] = keep + segments
+        new = store.read(table, [segment])
+    hold(table, keep + [s for s, m in measured.items() if m["rows"]], {s: m for s, m in measured.items() if m["rows"]})
     pk = [next(c["id"] for c in table["columns"] if c["name"] == x) for x in table["pk"]["columns"]] if table["pk"] else []
     moved = ids is None or any(c in ids for c in pk)
     children = [(c, f) for c, f in _referencing(m, space, name)] if pk and moved else []
     if new is not None and check:
-        check_rows(session, space, name, new, old=None, pk=any(c in ids for c in pk))
+        check_rows(session, space, name, new, facts, pk=any(c in ids for c in pk))
         for fk in table["fks"]:
             if any(_id(table, c) in ids for c in fk["columns"]):
-                session.unchecked.append((space, name, fk, new))
+                session.unchecked.append((space, name, fk, new, facts["ranges"]))
     if children:
         keys = hits.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(pk)], *[(F.col(f"n_{c}") if ids and c in ids else F.col(c) if ids is not None else F.lit(None).cast(hits.schema[c].dataType)).alias(f"n{i}") for i, c in enumerate(pk)], F.lit(ids is None).alias("gone"))
         keys = keys.filter(F.col("gone") | reduce(Column.__or__, [F.col(f"o{i}") != F.col(f"n{i}") for i in range(len(pk))]))
@@ -289,17 +295,24 @@ def _id(table: dict, name: str) -> str:
 # constraints
 
 
-def check_rows(session, space: str, name: str, rows: DataFrame, old: DataFrame | None, pk: bool = True) -> None:
-    """NOT NULL of new rows, and their primary keys: among themselves and (old) against the others, or in the whole table."""
-    table = session.manifest["spaces"][space]["tables"][name]
+def key_columns(table: dict) -> set[str]:
+    """Ids of the columns of primary and foreign keys."""
+    names = set(table["pk"]["columns"] if table["pk"] else ()).union(*[f["columns"] for f in table["fks"]])
+    return {c["id"] for c in table["columns"] if c["name"] in names}
+
+
+def check_rows(session, space: str, name: str, rows: DataFrame, facts: dict, added_only: bool = False, pk: bool = True) -> None:
+    """NOT NULL of new rows, and their primary keys: among themselves and against the table without them (added_only), or in the whole table with them."""
+    table, store = session.manifest["spaces"][space]["tables"][name], session.db.store
     for c in table["columns"]:
-        if c["not_null"] and rows.filter(F.col(c["id"]).isNull()).take(1):
+        if facts["nulls"].get(c["id"]):
             raise SqlError("23502", f"Column {c['name']} of {name} cannot be NULL")
     if table["pk"] and pk:
         ids = [_id(table, c) for c in table["pk"]["columns"]]
-        own = rows if old is not None else session.db.store.read(table)
-        twice = own.groupBy(*ids).count().filter("count > 1").take(1)
-        if twice or old is not None and rows.join(old.select(*ids), ids, "left_semi").take(1):
+        # a key that stands twice is one of the new rows', so only segments that can hold one of theirs are read
+        near = store.read(table, overlapping(table, facts["ranges"]))
+        twice = (rows if added_only else near).groupBy(*ids).count().filter("count > 1").take(1)
+        if twice or added_only and rows.join(near.select(*ids), ids, "left_semi").take(1):
             raise SqlError("23505", f"Primary key {table['pk']['name']} of {name} would hold a value twice")
 
 
@@ -308,21 +321,24 @@ def check_table(session, space: str, name: str, not_null=(), pk: bool = False) -
     if not table["segments"]:
         return
     rows = session.db.store.read(table)
+    facts = session.db.store.measure(rows, {**table, "columns": [c for c in table["columns"] if c["name"] in not_null]}, set()) if not_null else {"nulls": {}}
     for c in table["columns"]:
-        if c["not_null"] and c["name"] in not_null and rows.filter(F.col(c["id"]).isNull()).take(1):
+        if facts["nulls"].get(c["id"]):
             raise SqlError("23502", f"Column {c['name']} of {name} cannot be NULL")
     if pk and table["pk"] and rows.groupBy(*[_id(table, c) for c in table["pk"]["columns"]]).count().filter("count > 1").take(1):
         raise SqlError("23505", f"Primary key {table['pk']['name']} of {name} would hold a value twice")
 
 
-def check_child(session, space: str, name: str, fk: dict, rows: DataFrame | None = None) -> None:
-    """Every foreign key without a NULL has its parent row."""
+def check_child(session, space: str, name: str, fk: dict, rows: DataFrame | None = None, ranges: dict[str, list] | None = None) -> None:
+    """Every foreign key without a NULL has its parent row. `ranges` of the rows' columns spare the parent's segments outside them."""
     s = session.manifest["spaces"][space]["tables"]
     table, parent = s[name], s[fk["parent"]]
     rows = session.db.store.read(table) if rows is None else rows
     ids = [_id(table, c) for c in fk["columns"]]
     own = rows.select(*[F.col(i).alias(f"k{n}") for n, i in enumerate(ids)]).filter(" AND ".join(f"k{n} IS NOT NULL" for n in range(len(ids))))
-    there = session.db.store.read(parent).select(*[F.col(_id(parent, c)).cast(own.schema[f"k{n}"].dataType).alias(f"k{n}") for n, c in enumerate(fk["parent_columns"])])
+    to = [_id(parent, c) for c in fk["parent_columns"]]
+    near = overlapping(parent, {p: ranges[c] for c, p in zip(ids, to, strict=True) if c in ranges}) if ranges else None
+    there = session.db.store.read(parent, near).select(*[F.col(p).cast(own.schema[f"k{n}"].dataType).alias(f"k{n}") for n, p in enumerate(to)])
     if own.join(there, [f"k{n}" for n in range(len(ids))], "left_anti").take(1):
         raise SqlError("23503", f"Foreign key {fk['name']} of {name} has a value without a row in {fk['parent']}")
 

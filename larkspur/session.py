@@ -169,7 +169,7 @@ def declared(t: S.DataType) -> Type | None:
 
 def merge(start: dict, mine: dict, latest: dict) -> dict | None:
     """`latest` with the tables that `mine` has changed since `start`; None if they, or tables that keys link them to, have changed in `latest` too, or if `mine` has changed more than rows."""
-    bare = lambda m: {**m, "spaces": {s: {**v, "tables": {n: {**t, "segments": None} for n, t in v["tables"].items()}} for s, v in m["spaces"].items()}}
+    bare = lambda m: {**m, "spaces": {s: {**v, "tables": {n: {**t, "segments": None, "stats": None} for n, t in v["tables"].items()}} for s, v in m["spaces"].items()}}
     if bare(start) != bare(mine):
         return None
     out = fresh(latest)

@@ -3,7 +3,9 @@
 A database is a folder: `manifest-<n>.json` (n grows by one with each commit, created exclusively,
 so two writers can't both commit the same n) and `data/<id>` folders of Parquet, never changed once
 they are in a manifest. A table is a list of segments; an INSERT adds one, an UPDATE or DELETE
-replaces only those that hold changed rows. Readers keep the manifest they started with, which makes
+replaces only those that hold changed rows. For each segment the manifest has its number of rows and
+the ranges of its primary key's columns, by which checks of keys read only segments that can hold one
+of the keys looked for; a segment of which nothing is known is always read. Readers keep the manifest they started with, which makes
 every cursor a snapshot.
 """
 
@@ -25,6 +27,10 @@ from larkspur.errors import SqlError
 
 KEEP = 5
 SEGMENT = "__segment"
+#: An INSERT that leaves MANY segments of at most SMALL rows joins them to one, so that single-row INSERTs don't pile up.
+SMALL, MANY = 100_000, 32
+#: Kinds of columns whose least and greatest value a manifest keeps; texts only up to KEY_LENGTH characters.
+KEY_KINDS, KEY_LENGTH = ("SMALLINT", "INTEGER", "BIGINT", "CHAR", "VARCHAR"), 64
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -106,6 +112,28 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{s}" for s in segments])
 
+    def measure(self, rows: DataFrame, table: dict, ranged: set[str]) -> dict:
+        """In one pass: the number of rows, of NULLs in each NOT NULL column, and [least, greatest] of the columns `ranged` (by id; none if all are NULL)."""
+        strict = [c["id"] for c in table["columns"] if c["not_null"]]
+        keys = [c["id"] for c in table["columns"] if c["id"] in ranged and type_of(c["type"]).kind in KEY_KINDS]
+        ends = [f(c).alias(f"{name}_{c}") for c in keys for name, f in (("lo", F.min), ("hi", F.max))]
+        r = rows.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in strict], *ends).first()
+        ranges = {c: [r[f"lo_{c}"], r[f"hi_{c}"]] for c in keys if r[f"lo_{c}"] is not None}
+        ranges = {c: v for c, v in ranges.items() if not isinstance(v[0], str) or max(map(len, v)) <= KEY_LENGTH}
+        return {"rows": r["rows"], "nulls": {c: r[f"null_{c}"] for c in strict}, "ranges": ranges}
+
+    def compact(self, table: dict) -> None:
+        """Joins a table's small segments to one if there are many; nothing else about the table changes."""
+        stats = table.get("stats", {})
+        small = [s for s in table["segments"] if s in stats and stats[s]["rows"] <= SMALL]
+        if len(small) < MANY:
+            return
+        of = [stats[s] for s in small]
+        rows = sum(x["rows"] for x in of)
+        segment = self.write(self.read(table, small).coalesce(max(1, rows // 1_000_000)))
+        shared = set.intersection(*[set(x["ranges"]) for x in of])
+        ranges = {c: [min(x["ranges"][c][0] for x in of), max(x["ranges"][c][1] for x in of)] for c in shared}
+        hold(table, [s for s in table["segments"] if s not in small] + [segment], {segment: {"rows": rows, "ranges": ranges}})
 
     def located(self, table: dict) -> DataFrame:
         """A table's rows with where each stands: __segment, and __file and __row, which no other row shares."""
@@ -137,6 +165,20 @@ class Store:
         return len(gone)
 
 
+def hold(table: dict, segments: list[str], measured: dict[str, dict]) -> None:
+    """Makes `segments` the table's segments; `measured` tells rows and ranges of new ones."""
+    ids = {c["id"] for c in table["columns"] if table["pk"] and c["name"] in table["pk"]["columns"]}
+    own = {s: {"rows": m["rows"], "ranges": {c: v for c, v in m["ranges"].items() if c in ids}} for s, m in measured.items()}
+    table["segments"], table["stats"] = segments, {s: v for s, v in {**table.get("stats", {}), **own}.items() if s in set(segments)}
+
+
+def overlapping(table: dict, ranges: dict[str, list]) -> list[str]:
+    """The table's segments that can hold a row whose columns (by id) all lie in `ranges`."""
+    stats = table.get("stats", {})
+    apart = lambda a, b: type(a[0]) is type(b[0]) and (a[1] < b[0] or b[1] < a[0])
+    return [s for s in table["segments"] if not any(apart(ranges[c], v) for c, v in stats.get(s, {"ranges": {}})["ranges"].items() if c in ranges)]
+
+
 def new_manifest() -> dict:
     return {"spaces": {"SYSTEM": new_space("SYSTEM")}, "users": {"SYSTEM": {"password": None, "space": None}}, "grants": [], "groups": {"SYSTEM": ["DBA"]}}
 

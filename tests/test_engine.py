@@ -177,6 +177,51 @@ def test_vacuum_keeps_what_tables_hold(s, db):
     assert rows(s, "SELECT COUNT(*), SUM(TONS) FROM BOAT") == [(11, D("139.45"))]
 
 
+def _table(db, name):
+    return db.load()[1]["spaces"]["APP"]["tables"][name]
+
+
+def test_ranges_of_keys_spare_segments(s, db):
+    from larkspur.sources.store import overlapping
+
+    load(s, "CREATE TABLE P (A INTEGER, B VARCHAR(80), X INTEGER, PRIMARY KEY (A, B))", "INSERT INTO P VALUES (1, 'a', NULL), (5, 'c', 0)", "INSERT INTO P VALUES (11, 'a', 0), (15, 'é', 0)", f"INSERT INTO P VALUES (21, '{'z' * 70}', 0)")
+    t = _table(db, "P")
+    a, b = (c["id"] for c in t["columns"][:2])
+    assert [(x["rows"], x["ranges"]) for x in map(t["stats"].get, t["segments"])] == [(2, {a: [1, 5], b: ["a", "c"]}), (2, {a: [11, 15], b: ["a", "é"]}), (1, {a: [21, 21]})]
+    at = lambda ranges: [t["segments"].index(x) for x in overlapping(t, ranges)]
+    assert at({a: [5, 11]}) == [0, 1] and at({a: [6, 10]}) == [] and at({b: ["d", "d"]}) == [1, 2] and at({a: [1, 99], b: ["a", "a"]}) == [0, 1, 2]
+    assert at({}) == [0, 1, 2] and at({a: ["x", "y"]}) == [0, 1, 2]
+    assert overlapping({**t, "stats": {}}, {a: [6, 10]}) == t["segments"]
+    assert fails(s, "INSERT INTO P VALUES (99, 'a', 0), (15, 'é', 1)") == "23505" and fails(s, f"INSERT INTO P VALUES (21, '{'z' * 70}', 1)") == "23505"
+    assert fails(s, "UPDATE P SET A = 11 WHERE A = 1") == "23505" and s.execute("UPDATE P SET A = 12 WHERE A = 1").count == 1
+    t = _table(db, "P")
+    assert sorted(x["rows"] for x in map(t["stats"].get, t["segments"])) == [1, 1, 1, 2] and fails(s, "INSERT INTO P VALUES (12, 'a', 0)") == "23505"
+    load(s, "CREATE TABLE C (N INTEGER, A SMALLINT, B VARCHAR(80), FOREIGN KEY (A, B) REFERENCES P)", "INSERT INTO C VALUES (1, 12, 'a'), (2, NULL, 'q'), (3, 15, 'é')")
+    assert fails(s, "INSERT INTO C VALUES (4, 7, 'c')") == "23503" and fails(s, "INSERT INTO C VALUES (4, 500, 'a'), (5, 12, 'a')") == "23503"
+    assert fails(s, "UPDATE C SET A = 21 WHERE N = 1") == "23503" and s.execute("UPDATE C SET A = 11 WHERE N = 1").count == 1
+    load(s, "DELETE FROM C", "INSERT INTO C VALUES (1, NULL, NULL)")
+    assert len(_table(db, "C")["segments"]) == 1
+    load(s, "ALTER TABLE P ADD COLUMN Y INTEGER DEFAULT 4", "INSERT INTO P (A, B) VALUES (30, 'a')")
+    assert fails(s, "INSERT INTO P (A, B) VALUES (12, 'a')") == "23505" and one(s, "SELECT COUNT(*) FROM P") == 6
+
+
+def test_small_segments_are_joined(s, db, monkeypatch):
+    from larkspur.sources import store
+
+    monkeypatch.setattr(store, "MANY", 4)
+    load(s, "CREATE TABLE T (K INTEGER PRIMARY KEY, V VARCHAR(5))", "BEGIN")
+    for k in range(1, 4):
+        s.execute("INSERT INTO T VALUES (?, 'v')", (k,))
+    load(s, "SAVEPOINT A", "INSERT INTO T VALUES (4, NULL)")
+    assert len(s.manifest["spaces"]["APP"]["tables"]["T"]["segments"]) == 1
+    load(s, "ROLLBACK TO A", "COMMIT")
+    assert len(_table(db, "T")["segments"]) == 3 and fails(s, "INSERT INTO T VALUES (2, 'w')") == "23505"
+    load(s, "INSERT INTO T VALUES (9, 'w')", "INSERT INTO T VALUES (7, 'x')")
+    t = _table(db, "T")
+    assert [(x["rows"], list(x["ranges"].values())) for x in map(t["stats"].get, t["segments"])] == [(4, [[1, 9]]), (1, [[7, 7]])]
+    assert fails(s, "INSERT INTO T VALUES (3, 'w')") == "23505" and rows(s, "SELECT * FROM T ORDER BY K") == [(1, "v"), (2, "v"), (3, "v"), (7, "x"), (9, "w")]
+
+
 def _claim(draft: str, final: str, won) -> None:
     from larkspur.sources.store import claim_local
 
