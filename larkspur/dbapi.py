@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import weakref
 
 from pyspark.sql import SparkSession
 
 from larkspur.errors import SqlError, from_spark
 from larkspur.session import Database, Session
 
+#: Cursors of one connection that may hold rows not yet read.
+MAX_CURSORS = 16
+
 apilevel, threadsafety, paramstyle = "2.0", 1, "qmark"
 Date, Time, Timestamp, Binary = dt.date, dt.time, dt.datetime, bytes
 DateFromTicks, TimestampFromTicks = dt.date.fromtimestamp, dt.datetime.fromtimestamp
@@ -95,14 +99,19 @@ class Cursor:
 
     def execute(self, operation: str, parameters=()) -> Cursor:
         self._check()
+        reading = self.connection.reading
+        reading.discard(self)
         try:
             got = self.connection.session.execute(operation, tuple(parameters))
+            if got.frame is not None and len(reading) >= MAX_CURSORS:
+                raise SqlError("53400", f"A connection reads at most {MAX_CURSORS} results at a time")
         except SqlError as e:
             raise _raised(e) from e
         self.rowcount, self._rows, self.description = got.count, None, None
         if got.frame is not None:
             self.description = [(name, kind, None, None, kind.a or None, kind.b if kind.kind == "DECIMAL" else None, None) for name, kind in got.columns]
             self._rows = itertools.chain.from_iterable(got.fetch())
+            reading.add(self)
         return self
 
     def executemany(self, operation: str, seq_of_parameters) -> Cursor:
@@ -120,8 +129,12 @@ class Cursor:
         self._check()
         if self._rows is None:
             raise ProgrammingError("No query has been executed")
+        size = self.arraysize if size is None else size
         try:
-            return list(itertools.islice(self._rows, self.arraysize if size is None else size))
+            out = list(itertools.islice(self._rows, size))
+            if len(out) < size:
+                self.connection.reading.discard(self)
+            return out
         except SqlError as e:
             raise _raised(e) from e
         except Exception as e:
@@ -145,6 +158,7 @@ class Cursor:
 
     def close(self) -> None:
         self._open = False
+        self.connection.reading.discard(self)
 
     def __enter__(self):
         return self
@@ -158,6 +172,7 @@ class Connection:
 
     def __init__(self, session: Session):
         self.session, self._open = session, True
+        self.reading: weakref.WeakSet[Cursor] = weakref.WeakSet()
         session.autocommit = False
 
     def cursor(self) -> Cursor:

@@ -27,7 +27,7 @@ from larkspur.sources import dictionary
 from larkspur.sources.store import Store, fresh, new_manifest, new_space, scratch_folder, type_of
 
 DATA, DDL = ("Query", "Insert", "Update", "Delete"), ("Create", "Alter", "Drop", "Truncate", "Grant", "Revoke")
-MAX_PAGE = 100_000
+MAX_PAGE, PAGE_BYTES = 100_000, 1 << 20
 _numbers = itertools.count(1)
 
 
@@ -50,25 +50,35 @@ class Result:
             raise from_spark(e) from e
 
     def fetch(self, pages: int = 500):
-        """Lists of up to `pages` rows (100,000 at most); a partition at a time comes to the driver."""
+        """Lists of up to `pages` rows (100,000 at most), or fewer when texts and bytes fill 1 MiB; a partition at a time comes to the driver."""
         pages = min(pages, MAX_PAGE)
         try:
             with tagged(self.frame, self.tag):
                 it = self.frame.toLocalIterator()
-                page = [tuple(r) for r in itertools.islice(it, pages)]
+                page = next_page(it, pages)
             while page:
                 yield page
                 with tagged(self.frame, self.tag):
-                    page = [tuple(r) for r in itertools.islice(it, pages)]
+                    page = next_page(it, pages)
         except Exception as e:
             raise from_spark(e) from e
 
-
     def spool(self) -> Spool:
         """The rows written once, to be read from any position, forwards or backwards."""
         return Spool(self)
 
 
+def next_page(it, most: int) -> list[tuple]:
+    """Up to `most` rows; the row that passes PAGE_BYTES is the page's last, so that a page is never empty for a long row."""
+    page, size = [], 0
+    for r in itertools.islice(it, most):
+        page.append(tuple(r))
+        size += sum(len(v) if isinstance(v, (bytes, bytearray)) else len(v.encode()) if isinstance(v, str) else 8 for v in page[-1])
+        if size >= PAGE_BYTES:
+            break
+    return page
+
+
 class Spool:
     """A result in files of the shared scratch folder. Spark numbers part files in order of the result's partitions, so a row's position is
     its file's offset and its place in the file; the driver keeps one count a file."""

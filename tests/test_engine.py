@@ -386,6 +386,24 @@ def test_prepared_and_paged(s):
     assert held.rows() == [(50,)]  # a result is a snapshot
 
 
+def test_pages_end_at_a_mebibyte(s):
+    load(s, "CREATE TABLE T (N INTEGER, V VARCHAR(60000))", "INSERT INTO T VALUES " + ", ".join(f"({i}, '{'é' * 30_000}')" for i in range(20)), "INSERT INTO T (N) VALUES (99)")
+    pages = list(s.execute("SELECT N, V FROM T ORDER BY N").fetch())
+    assert [len(x) for x in pages] == [18, 3] and [r[0] for x in pages for r in x] == [*range(20), 99]
+
+
+def test_a_connection_reads_sixteen_results(spark, tmp_path):
+    c = dbapi.connect(f"file://{tmp_path}/d", spark=spark)
+    held = [c.cursor().execute("SELECT 1 FROM DUAL") for _ in range(dbapi.MAX_CURSORS)]
+    late = c.cursor()
+    with pytest.raises(dbapi.DatabaseError) as e:
+        late.execute("SELECT 2 FROM DUAL")
+    assert e.value.sqlstate == "53400"
+    assert held[0].fetchall() == [(1,)] and late.execute("SELECT 2 FROM DUAL").fetchone() == (2,)
+    held[1].close()
+    assert held[2].execute("SELECT 3 FROM DUAL").fetchone() == (3,) and c.cursor().execute("SELECT 4 FROM DUAL").fetchone() == (4,)
+
+
 def test_dbapi_and_shell(spark, tmp_path, capsys):
     folder = f"file://{tmp_path}/d"
     assert cli.main([folder, "-e", "CREATE TABLESPACE A; CREATE TABLE A.T (X INT PRIMARY KEY, Y VARCHAR(9)); INSERT INTO A.T VALUES (1, 'a;b'); SELECT * FROM A.T"]) == 0
