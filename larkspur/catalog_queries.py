@@ -9,9 +9,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larkspur.errors import SqlError
-from larkspur.session import Database
+from larkspur.session import Database, Session
 from larkspur.sources.store import scratch_folder
 
 TABLES = ("REGION", "NATION", "CUSTOMER", "SUPPLIER", "PART", "ORDERS", "LINEITEM", "EVENTS", "EMBEDDINGS")
@@ -20,8 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def run_dialect(spark: SparkSession, sf_dir: str, text: str, params=(), zone: str | None = None) -> DataFrame:
-    """A dialect query over the Parquet tables of a folder."""
+def run_dialect(spark: SparkSession, sf_dir: str, text: str, params=(), zone: str | None = None, use: Callable[[Session], DataFrame] | None = None) -> DataFrame:
+    """A dialect query over the Parquet tables of a folder, or what `use` makes with the session."""
     db = Database(spark)
     words = set(re.findall(r"\w+", text.upper()))
     db.attach("SF", {t: spark.read.parquet(f"{sf_dir}/{t.lower()}.parquet") for t in TABLES if t in words})
@@ -29,7 +31,7 @@ def run_dialect(spark: SparkSession, sf_dir: str, text: str, params=(), zone: st
     if zone:
         session.zone = zone
     try:
-        return session.query(text, params)
+        return use(session) if use else session.query(text, params)
     finally:
         session.close()
         db.detach()
@@ -257,3 +259,34 @@ scenario("t7_use_and_time_zone", ["CREATE TABLESPACE OTHER", "USE OTHER", "CREAT
 scenario("t10_privileges", [*_nation(), "CREATE USER BOB IDENTIFIED BY 'pw' DEFAULT TABLESPACE APP", "GRANT SELECT, UPDATE ON NAT TO BOB", ("UPDATE NAT SET N = 9 WHERE K = 1", None, "BOB"), ("DELETE FROM NAT", "42501", "BOB"), ("SELECT * FROM REG", "42501", "BOB"), "REVOKE UPDATE ON NAT FROM BOB", ("UPDATE NAT SET N = 0", "42501", "BOB")], _ALL, f"SELECT k, name, r, CAST(CASE WHEN k = 1 THEN 9 ELSE n END AS DECIMAL(10,2)) AS n FROM ({_BASE})")
 scenario("j12_rejected", [("SELECT 1 FROM SF.nation NATURAL JOIN SF.region", "0A000"), ("SELECT 1 FROM SF.nation, LATERAL (SELECT 1 FROM DUAL) x", "0A000")], 'SELECT 1 AS "n" FROM DUAL', "SELECT 1 AS n")
 scenario("a13_rejected", [(f"SELECT n_regionkey FROM SF.nation GROUP BY {g}", "0A000") for g in ("ROLLUP (n_regionkey)", "CUBE (n_regionkey)", "GROUPING SETS ((n_regionkey), ())")], 'SELECT 1 AS "n" FROM DUAL', "SELECT 1 AS n")
+
+# 2.1 results read otherwise than as a DataFrame, 2.12 prepared statements
+
+
+def used(name: str, text: str, use: Callable[[Session, str], DataFrame], oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run_dialect(spark, sf_dir, text, use=lambda session: use(session, text))
+    ORACLE_SQL[name] = oracle
+
+
+def _spooled(session: Session, text: str) -> DataFrame:
+    spool = session.execute(text).spool()
+    return spool.rows.select(*[F.col(f"c{i}").alias(c) for i, (c, _) in enumerate(spool.columns)])
+
+
+def _paged(session: Session, text: str) -> DataFrame:
+    result = session.execute(text)
+    rows = [(*r, page) for page, own in enumerate(result.fetch(7)) for r in own]
+    return session.spark.createDataFrame(rows, StructType(result.frame.schema.fields).add("page", "long"))
+
+
+def _prepared(session: Session, text: str) -> DataFrame:
+    statement = session.prepare(text)
+    frames = [statement.execute((k, k + 1)).frame for k in (0, 3)]
+    if any(f.columns != [c for c, _ in statement.columns] for f in frames):
+        raise AssertionError("a prepared statement has other columns than it described")
+    return frames[0].unionAll(frames[1])
+
+
+used("s13_spooled_cursor", 'SELECT o_orderkey AS "o_orderkey", o_custkey AS "o_custkey", CAST(o_totalprice AS DECIMAL(18,2)) AS "p" FROM orders ORDER BY o_orderkey DESC', _spooled, "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders")
+used("s14_paged_fetch", 'SELECT n_nationkey AS "n_nationkey", n_name AS "n_name" FROM nation ORDER BY n_name', _paged, "SELECT n_nationkey, n_name, (row_number() OVER (ORDER BY n_name) - 1) // 7 AS page FROM nation")
+used("t8_prepared_statement", 'SELECT n_nationkey AS "n_nationkey", n_name AS "n_name" FROM nation WHERE n_regionkey IN (?, ?)', _prepared, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (0, 1, 3, 4)")
