@@ -14,7 +14,8 @@ from the HTTP header, its digest from the WARC header (checked against the paylo
 
 Defined results: null html is the empty payload. A null url has the URL key `-`. Records of equal payload and equal least
 page_id (repeated rows) are all responses. Rows without a page_id come last of their payload: they
-are responses only if no row of it has an id. Empty table: no archives and no rows. Extra columns are not looked at.
+are responses only if no row of it has an id. Records of a page_id that several rows have (null included) carry their run
+and place in their ids, so that no two records have one id; a revisit of such a response names it by its page_id alone. Empty table: no archives and no rows. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from larkspur.llm.common import scratch_path, table, written
 from larkspur.llm.shared_files import make, opened, publish
 
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
-_ID = re.compile(rb"<urn:capture:page:([^>]*)>")
+_ID = re.compile(rb"<urn:capture:page:([^:>]*)(?::[^>]*)?>")
 
 
 def url_key(url: str | None) -> str:
@@ -63,12 +64,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id, url, when: str, sha1: str, size: int, payload: bytes, refers_to=None) -> bytes:
-    """A record as one gzip member."""
+def record(kind: str, page_id, url, when: str, sha1: str, size: int, payload: bytes, refers_to=None, mark: str = "") -> bytes:
+    """A record as one gzip member. `mark` tells records of one page_id apart."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if kind == "response" else b"")
     date = f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:]}Z"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:page:{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:page:{page_id}{mark}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {re.sub(r'[\r\n]+', '', url)}")
     head.append(f"WARC-Payload-Digest: sha1:{sha1}")
@@ -114,10 +115,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     first = seen.filter(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1")
     # ids that revisit, with their responses: html is joined to these by page_id, which no group of copies skews
     again = seen.join(first.select("sha1", "response_id"), "sha1").filter("page_id is null or page_id <> response_id").filter("response_id is not null")
-    again = written(again.select(F.col("page_id").alias("id"), F.col("sha1").alias("id_sha1"), "response_id").distinct(), "revisits")
+    again = again.select(F.col("page_id").alias("id"), F.col("sha1").alias("id_sha1"), "response_id", F.lit(False).alias("repeated"))
+    # ids of more than one row, which need more than their id to name a record; rows without an id always do, and aren't joined
+    pairs = seen.filter("page_id is not null").groupBy(F.col("page_id").alias("id"), F.col("sha1").alias("id_sha1")).agg(F.count("*").alias("n"))
+    twice = pairs.groupBy("id").agg(F.sum("n").alias("n")).filter("n > 1").select("id")
+    several = pairs.join(twice, "id").select("id", "id_sha1", F.lit(None).cast("long").alias("response_id"), F.lit(True).alias("repeated"))
+    notes = written(again.unionByName(several).groupBy("id", "id_sha1").agg(F.max("response_id").alias("response_id"), F.max("repeated").alias("repeated")), "revisits")
     every = _hashed(pages, with_html=True)
-    roles = every.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("id_sha1")), "left")
-    sorted_runs = roles.sortWithinPartitions("url_key", "stamp", "page_id").select("page_id", "url", "html", "url_key", "stamp", "bytes", "sha1", "response_id")
+    roles = every.join(notes, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("id_sha1")), "left")
+    sorted_runs = roles.sortWithinPartitions("url_key", "stamp", "page_id").select("page_id", "url", "html", "url_key", "stamp", "bytes", "sha1", "response_id", "repeated")
 
     def run(batches):
         me = TaskContext.get().partitionId()
@@ -128,8 +134,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         with publish(folder, name) as out:
             while batch is not None:
                 rows = []
-                for page_id, url, html, _, when, size, sha1, refers in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                    member = record("response" if refers is None else "revisit", page_id, url, when, sha1, size, (html or "").encode() if refers is None else b"", refers)
+                for page_id, url, html, _, when, size, sha1, refers, repeated in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                    mark = f":{me}-{seq + len(rows)}" if repeated or page_id is None else ""
+                    member = record("response" if refers is None else "revisit", page_id, url, when, sha1, size, (html or "").encode() if refers is None else b"", refers, mark)
                     out.write(member)
                     rows.append((offset, len(member)))
                     offset += len(member)

@@ -8,6 +8,7 @@ import itertools
 import os
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -690,6 +691,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(none, f"file://{tmp_path}/u").count() == 0
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(3, "a", "same"), (3, "a", "same"), (3, "a", "other"), (5, "b", "same"), (None, "c", "x"), (None, "c", "x"), (None, "c", "same"), (6, "d", "y"), (7, "e", "y")]
+    folder = f"{tmp_path}/w"
+    runs = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"file://{folder}").collect()
+    heads = {}
+    for r in runs:
+        with open(f"{folder}/{r.file}", "rb") as f:
+            f.seek(r.offset)
+            member = f.read(r.length)
+        text = zlib.decompress(member, 31).decode()
+        heads[re.search(r"WARC-Record-ID: (<[^>]*>)", text)[1]] = warc.parse(member), re.search(r"WARC-Refers-To: (<[^>]*>)", text)
+    assert len(runs) == len(heads) == len(rows) and {k for k in heads if k.count(":") == 3} == {f"<urn:capture:page:{i}>" for i in (5, 6, 7)}
+    assert sorted(str(m["page_id"]) for m, _ in heads.values()) == sorted(str(i) for i, _, _ in rows)
+    assert heads["<urn:capture:page:7>"][1][1] == "<urn:capture:page:6>" and heads["<urn:capture:page:5>"][0]["refers_to"] == 3
+
+
 def test_loser_tree():
     rng = np.random.default_rng(2)
     for k in range(1, 12):
